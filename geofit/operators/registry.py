@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from geofit.functions.curves import PARAM_FIELDS, PARAMS_TYPE
 
@@ -22,21 +25,36 @@ DOMAIN_SCHEMA = "domain string, label string, default_weight double, scoring boo
 SOURCE_SCHEMA = "source string, name string, url string, geo_levels array<string>, vintage string, license string"
 
 
+def local_frame(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A config-sized table of plain tuples, sent as Arrow.
+
+    Spark keeps it as a local relation of known size, so it can choose a broadcast join (or
+    not) from that size rather than from a guess.
+    """
+    st = StructType.fromDDL(schema)
+    names = st.fieldNames()
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=to_arrow_schema(st))
+    return spark.createDataFrame(table, schema=st)
+
+
+def curve_params(values: dict | None) -> dict | None:
+    return {f: None if values.get(f) is None else float(values[f]) for f in PARAM_FIELDS} if values else None
+
+
 def registry_frame(spark: SparkSession, entries: list[dict]) -> DataFrame:
     """Indicator entries (as read from a config file) to the registry table."""
     rows = []
     for e in entries:
-        p = e.get("curve_params")
         rows.append(
             (
                 e["indicator_id"], e.get("domain"), e.get("geo_level"), e.get("unit"),
                 e.get("label", e["indicator_id"]), e.get("source"), e.get("curve"),
-                tuple(None if p.get(f) is None else float(p[f]) for f in PARAM_FIELDS) if p else None,
+                curve_params(e.get("curve_params")),
                 e.get("transform", "none"), e.get("scoring", True), e.get("sensitive", False),
                 e.get("direction"), e.get("crosswalk_from"), e.get("phrases"), e.get("quality"),
             )
         )
-    return spark.createDataFrame(rows, REGISTRY_SCHEMA)
+    return local_frame(spark, rows, REGISTRY_SCHEMA)
 
 
 @dataclass
@@ -59,16 +77,13 @@ KNOCKOUTS = "profile_id string, rule_no int, indicator_id string, op string, val
 
 def profiles_from_rows(spark, domain_weights, indicator_weights=(), overrides=(), opt_ins=(), knockouts=()) -> Profiles:
     """Profiles from plain tuples; an override's params is a dict or None."""
-    over = [
-        (p, i, bool(ind), c, tuple(None if q.get(f) is None else float(q[f]) for f in PARAM_FIELDS) if q else None)
-        for p, i, ind, c, q in overrides
-    ]
+    over = [(p, i, bool(ind), c, curve_params(q)) for p, i, ind, c, q in overrides]
     return Profiles(
-        spark.createDataFrame([(p, d, float(w)) for p, d, w in domain_weights], DOMAIN_WEIGHTS),
-        spark.createDataFrame(list(indicator_weights), INDICATOR_WEIGHTS),
-        spark.createDataFrame(over, OVERRIDES),
-        spark.createDataFrame(list(opt_ins), OPT_INS),
-        spark.createDataFrame(list(knockouts), KNOCKOUTS),
+        local_frame(spark, [(p, d, float(w)) for p, d, w in domain_weights], DOMAIN_WEIGHTS),
+        local_frame(spark, indicator_weights, INDICATOR_WEIGHTS),
+        local_frame(spark, over, OVERRIDES),
+        local_frame(spark, opt_ins, OPT_INS),
+        local_frame(spark, knockouts, KNOCKOUTS),
     )
 
 

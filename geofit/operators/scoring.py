@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geofit.functions.curves import desirability
+from geofit.operators.lineage import cut
 from geofit.operators.ordering import ordinal, top_k
 from geofit.operators.registry import Profiles
 
@@ -144,11 +145,14 @@ def influence_scale(scores: DataFrame, by: str = "profile_id", targets: DataFram
     `targets` replaces the spread measured here where a domain is held to another field's.
     """
     stats = influence_stats(scores, [by, "domain"])
-    targets = targets if targets is not None else influence_target(stats, [by])
-    return (
-        stats.where(F.col("n") > 1)
-        .join(targets, by)
-        .select(by, "domain", scale_factor(F.col("target"), F.col("std")).alias("k"), "centre")
+    if targets is not None:
+        held = stats.join(targets, by)
+    else:
+        # A profile has a handful of domains, so its common spread is a small window.
+        live = F.when((F.col("n") > 1) & (F.col("std") > 0), F.col("std"))
+        held = stats.withColumn("target", F.avg(live).over(Window.partitionBy(by)))
+    return held.where((F.col("n") > 1) & F.col("target").isNotNull()).select(
+        by, "domain", scale_factor(F.col("target"), F.col("std")).alias("k"), "centre"
     )
 
 
@@ -237,7 +241,7 @@ def score_warnings(features: DataFrame, registry: DataFrame, profiles: Profiles)
 
 def ranking(scored: DataFrame) -> DataFrame:
     """1-based rank per profile, ties by geo_id."""
-    return ordinal(scored, ["profile_id"], [-F.col("score"), F.col("geo_id")])
+    return ordinal(cut(scored), ["profile_id"], [-F.col("score"), F.col("geo_id")])
 
 
 # ------------------------------------------------------------------------- knockouts
@@ -375,7 +379,7 @@ def two_stage(features, universe, registry, profiles, top: int = 25) -> tuple[Da
     computed for the union of winners and each profile's influence scale over its own field.
     """
     county_scores = score(features.where(F.col("geo_level") == "county"), registry, profiles)
-    winners = winning_counties(county_scores, universe, top).withColumnRenamed("geo_id", "county_geoid")
+    winners = cut(winning_counties(county_scores, universe, top)).withColumnRenamed("geo_id", "county_geoid")
     places = universe.where(F.col("geo_level") == "place").select("geo_id", "county_geoid")
     field = places.join(winners, "county_geoid").select("profile_id", "geo_id")
     in_play = places.join(winners.select("county_geoid").distinct(), "county_geoid", "left_semi").select("geo_id", "county_geoid")
@@ -434,9 +438,9 @@ def rank_bands(
     field would. A contender under the coverage floor in a draw has no rank in it. Windows run
     over (profile, draw), which holds at most `top` rows.
     """
-    per_domain = domain_scores(features, registry, profiles) if scores is None else scores
+    per_domain = cut(domain_scores(features, registry, profiles)) if scores is None else scores
     base = coverage_floor(combine_domains(per_domain, influence_scale(per_domain), total_weights(profiles)))
-    field = restrict(per_domain, contenders(base, top))
+    field = cut(restrict(per_domain, contenders(base, top)))
     logs = (
         field.join(influence_scale(field), ["profile_id", "domain"], "left")
         .select("profile_id", "geo_id", "domain", shaped_log(F.col("d"), F.col("k"), F.col("centre")).alias("lg"))

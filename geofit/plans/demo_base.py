@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from geofit.functions.curves import PARAM_FIELDS
 from geofit.operators import features as feat
-from geofit.operators.registry import Profiles, profiles_from_rows, registry_frame
+from geofit.operators.lineage import cut
+from geofit.operators.registry import DOMAIN_SCHEMA, Profiles, local_frame, profiles_from_rows, registry_frame
 from geofit.plans.catalog import cte, table
 from geofit.sources.normalise import inverse_hhi
 
@@ -67,8 +68,7 @@ def registry(spark):
 
 
 def domains(spark):
-    from geofit.operators.registry import DOMAIN_SCHEMA
-    return spark.createDataFrame(DOMAINS, DOMAIN_SCHEMA)
+    return local_frame(spark, DOMAINS, DOMAIN_SCHEMA)
 
 
 def profiles(spark) -> Profiles:
@@ -153,16 +153,20 @@ def facts(spark, sf):
     return feat.source_union([place_facts(spark, sf), county_facts(spark, sf)])
 
 
+# Features are a stage of their own (every later stage reads them several times), so they are
+# written once and read back.
+
+
 def features(spark, sf):
-    return feat.build_features(facts(spark, sf), universe(spark, sf), registry(spark))
+    return cut(feat.build_features(facts(spark, sf), universe(spark, sf), registry(spark)))
 
 
 def place_features(spark, sf):
-    return feat.build_features(place_facts(spark, sf), universe(spark, sf), registry(spark))
+    return cut(feat.build_features(place_facts(spark, sf), universe(spark, sf), registry(spark)))
 
 
 def county_features(spark, sf):
-    return feat.build_features(county_facts(spark, sf), universe(spark, sf), registry(spark))
+    return cut(feat.build_features(county_facts(spark, sf), universe(spark, sf), registry(spark)))
 
 
 # ------------------------------------------------------------------------- SQL

@@ -190,7 +190,7 @@ def cbp_rates(raw: DataFrame, population: DataFrame, rates=NAICS_RATES, totals=N
     )
     cells = F.array(
         F.struct(F.try_element_at(as_map(rates), naics).alias("indicator_id"), rate.alias("value")),
-        F.struct(F.try_element_at(as_map(totals), naics), est),
+        F.struct(F.try_element_at(as_map(totals), naics).alias("indicator_id"), est.alias("value")),
     )
     return rows.select(F.lit("county").alias("geo_level"), "geo_id", F.inline(cells)).where("indicator_id is not null")
 
@@ -562,7 +562,7 @@ def education_rejects(directory: DataFrame, finance: DataFrame, grads: DataFrame
         F.count_if(F.col("districts") == 0).alias("b"),
     ).select(F.inline(F.array(
         F.struct(F.lit("ratios_dropped_unrepresentative").alias("reason"), F.col("a").alias("n")),
-        F.struct(F.lit("counties_without_a_district"), F.col("b")),
+        F.struct(F.lit("counties_without_a_district").alias("reason"), F.col("b").alias("n")),
     )))
     mapped = district_counties(districts)
     spend_markers = finance.join(mapped, "leaid", "left_semi").agg(
