@@ -45,33 +45,58 @@ def _starts(df: DataFrame, by: list[str], size: Column) -> DataFrame:
     )
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """Adds avg_rank (ties share the mean rank) and n (non-null values in the group).
+def value_positions(df: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """One row per distinct non-null value: how many rows sort before it (`before`), hold it
+    (`ties`) and are in its group (`n`).
 
     Equal values collapse to one counted row before anything is ordered, so a value held by
-    a third of the rows costs one row. Null values get a null rank.
+    a third of the rows costs one row.
     """
-    if not by:
-        return average_rank(df.withColumn("__all", F.lit(1)), ["__all"], value, buckets).drop("__all")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
     cut = _bucketed(counts, by, F.col(value), buckets)
-    starts = _starts(cut, by, F.sum("__c"))
+    starts = _starts(cut, by, F.sum("ties"))
     earlier = (
         Window.partitionBy(*by, "__bucket").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     )
-    ranks = (
-        cut.withColumn("__before", F.coalesce(F.sum("__c").over(earlier), F.lit(0)))
+    return (
+        cut.withColumn("__before", F.coalesce(F.sum("ties").over(earlier), F.lit(0)))
         .join(starts, [*by, "__bucket"])
-        .select(
-            *by,
-            value,
-            (F.col("__start") + F.col("__before") + (F.col("__c") + 1) / 2).alias("avg_rank"),
-            F.col("__total").alias("n"),
-        )
+        .select(*by, value, (F.col("__start") + F.col("__before")).alias("before"), "ties", F.col("__total").alias("n"))
+    )
+
+
+def average_rank(df: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Adds avg_rank (ties share the mean rank) and n (non-null values in the group).
+
+    Null values get a null rank.
+    """
+    if not by:
+        return average_rank(df.withColumn("__all", F.lit(1)), ["__all"], value, buckets).drop("__all")
+    ranks = value_positions(df, by, value, buckets).select(
+        *by, value, (F.col("before") + (F.col("ties") + 1) / 2).alias("avg_rank"), "n"
     )
     return df.join(ranks, [*by, value], "left")
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
+    """Linearly interpolated quantiles per group, read off the value positions.
+
+    The built-in exact percentile keeps a whole group's values in one buffer; this does not.
+    """
+    if not by:
+        keyed = df.withColumn("__all", F.lit(1))
+        return exact_quantiles(keyed, ["__all"], value, quantiles, buckets).drop("__all")
+    p = value_positions(df, by, value, buckets)
+    at = lambda pos: F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("ties")), F.col(value)))
+    out = []
+    for name, q in quantiles.items():
+        pos = (F.col("n") - 1) * q
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        share = F.max(pos - F.floor(pos))
+        out.append((low + (high - low) * share).alias(name))
+    return p.groupBy(*by).agg(*out)
+
+
 def ordinal(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
     """1-based position of each row in its group.
 

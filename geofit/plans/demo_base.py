@@ -274,7 +274,7 @@ SELECT * FROM (SELECT v.profile_id, v.domain, f.geo_level, f.geo_id, f.indicator
   {sql_desirability('v.curve', 'f.value', 'f.percentile', 'v.')} AS d FROM s_feats f JOIN s_view v USING (indicator_id)) WHERE d IS NOT NULL""")
 
 
-def scoring_ctes(prefix: str, desir: str) -> None:
+def scoring_ctes(prefix: str, desir: str, weights: str = "s_dw") -> None:
     """Domain scores, influence scale and combined score over one field of desirabilities."""
     cte(f"{prefix}_dom", f"""
 SELECT profile_id, geo_id, domain, exp(sum(iw * ln(greatest(d, 0.01))) / sum(iw)) AS d FROM {desir} GROUP BY 1, 2, 3""")
@@ -289,8 +289,8 @@ SELECT d.profile_id, d.geo_id, exp(sum(weight * CASE WHEN k IS NULL OR k = 1 THE
     ELSE centre + k * (ln(greatest(d, 0.01)) - centre) END) / sum(weight)) AS score,
   arg_min(d.domain, struct_pack(d := d.d, dom := d.domain)) AS worst_domain, min(d.d) AS worst_domain_score,
   sum(weight) / any_value(total) AS weight_covered
-FROM {prefix}_dom d JOIN s_dw w USING (profile_id, domain) LEFT JOIN {prefix}_infl i USING (profile_id, domain)
-  JOIN (SELECT profile_id, sum(weight) AS total FROM s_dw WHERE weight > 0 GROUP BY 1) t USING (profile_id)
+FROM {prefix}_dom d JOIN {weights} w USING (profile_id, domain) LEFT JOIN {prefix}_infl i USING (profile_id, domain)
+  JOIN (SELECT profile_id, sum(weight) AS total FROM {weights} WHERE weight > 0 GROUP BY 1) t USING (profile_id)
 WHERE w.weight > 0 GROUP BY 1, 2""")
     cte(f"{prefix}_score", f"SELECT * FROM {prefix}_comb WHERE weight_covered >= 0.8")
 
