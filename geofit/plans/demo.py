@@ -1,3 +1,3 @@
 """Imports every demo binding so that the catalogue is full."""
 
-from geofit.plans import demo_diagnostics, demo_scoring, demo_sources, demo_universe, demo_visitors  # noqa: F401
+from geofit.plans import demo_diagnostics, demo_elicit, demo_scoring, demo_sources, demo_universe, demo_visitors  # noqa: F401
