@@ -53,6 +53,8 @@ def value_positions(df: DataFrame, by: list[str], value: str, buckets: int = BUC
     a third of the rows costs one row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    # Always true; it keeps the count in every branch below, so they share one shuffle of the input.
+    counts = counts.where(F.col("ties") > 0)
     cut = _bucketed(counts, by, F.col(value), buckets)
     starts = _starts(cut, by, F.sum("ties"))
     earlier = (
