@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geofit.operators.ordering import average_rank, top_k
+from geofit.operators.ordering import average_rank
 
 
 def transform_value(kind: Column, value: Column, population: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from geofit.functions import stats as fstats
 from geofit.operators import elicit as el
 from geofit.operators import features as feat
+from geofit.operators import scoring as sc
 from geofit.operators import validate as val
 from geofit.operators.lineage import cut
 from geofit.operators.registry import Profiles, explode_profiles, local_frame, registry_frame
@@ -425,6 +426,13 @@ def e25(spark, sf):
     return built(spark, sf)
 
 
+@query("e25_rank_built_profiles")
+def e25_ranked(spark, sf):
+    """Every respondent's ranking of the brands under the profile built from their answers."""
+    p = explode_profiles(cut(built(spark, sf)))
+    return sc.ranking(sc.score(brand_features(spark, sf), registry(spark), p)).select("profile_id", "geo_id", "score", "rank")
+
+
 @query("e26_validate_profiles", """
 SELECT person AS profile_id, 'unknown domain' AS rule, domain AS key FROM e_budget WHERE domain NOT IN ('cost', 'quality', 'tax', 'sensitive')
 UNION ALL SELECT person, 'override on unregistered indicator', indicator_id FROM e_band

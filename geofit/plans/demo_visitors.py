@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from geofit.functions import curves
 from geofit.functions.keys import clean_name
-from geofit.operators import scoring as sc
 from geofit.operators import visitors as vis
 from geofit.operators.lineage import cut
 from geofit.operators.registry import OPT_INS, OVERRIDES, local_frame

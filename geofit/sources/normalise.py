@@ -86,10 +86,9 @@ BULK_PREFIX = {"1600000US": "place", "0500000US": "county"}
 
 def acs_bulk_scan(raw: DataFrame, variable: str) -> DataFrame:
     """geo_id, value from one bulk table; suppressed cells (negative) are left out."""
-    geo = F.regexp_extract("geo_id_raw", "^(?:" + "|".join(BULK_PREFIX) + ")(.*)$", 1)
-    keyed = raw.withColumnRenamed("geo_id", "geo_id_raw") if "geo_id" in raw.columns else raw
+    geo = F.regexp_extract("geo_id", "^(?:" + "|".join(BULK_PREFIX) + ")(.*)$", 1)
     return (
-        keyed.select(F.nullif(geo, F.lit("")).alias("geo_id"), num(variable).cast("bigint").alias("value"))
+        raw.select(F.nullif(geo, F.lit("")).alias("geo_id"), num(variable).cast("bigint").alias("value"))
         .where(in_scope("geo_id") & (F.col("value") >= 0))
     )
 

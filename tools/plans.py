@@ -23,7 +23,6 @@ def main():
             continue
         plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         found = {s: plan.count(s) for s in SUSPECTS if s in plan}
-        windows = re.findall(r"Window \[.*?\], \[(.*?)\]", plan)
         if found:
             print(name, found, flush=True)
             for line in plan.splitlines():
