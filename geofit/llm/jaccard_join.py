@@ -37,7 +37,7 @@ from geofit.llm.components import components
 from geofit.llm.shingles import Similar, rounds, set_keys, shingle_sets, signatures
 
 GROUP_SIZE = 64
-COMMON = 32
+COMMON = 12
 SMALL_IDS = 4_000_000
 
 
