@@ -8,9 +8,13 @@ of vectors in one cap are verified by their cosine in double precision; nothing
 
 The number of directions is in proportion to the number of vectors, so a cap holds a few vectors at any size; the
 height is what makes a vector exceed FILTERS of them on average, from the distribution of one coordinate of a random
-unit vector. Two vectors at the threshold share more than half of those, so missing all of them is rare (the
-tests measure it). Equal vectors are one class from the start. A cap that holds many classes - a group of near
-copies - is cut into blocks of BLOCK_ROWS, and each pair of blocks is a task's work of its own.
+unit vector. One code leaves some vectors with few directions, so CODES independent ones are used: a pair at the
+threshold of 0.95 shares no cap of one code with a chance of about 0.2, of all with one of about 1 in 10,000, and
+closer pairs less often (the tests measure it). Equal vectors are one class from the start. A cap that holds many
+classes - a group of near copies - is cut into blocks of BLOCK_ROWS, and each pair of blocks is work of its own.
+
+In caps, unit vectors travel as half-precision numbers. Their inner product is off by HALF_ERROR at most, so it
+decides a pair unless it falls within that of the threshold; those few pairs are looked up and decided in doubles.
 
 Null vectors, those of a null or non-finite component, of no components or of length zero link with nothing.
 Vectors of different dimensions do not link. Each row is a vector, also where its vec_id repeats; a null vec_id is
@@ -30,12 +34,17 @@ from pyspark.sql import functions as F
 from geofit.llm.common import map_arrow, staged
 from geofit.llm.components import components
 
-BLOCKS = 4
-#: Directions that a vector exceeds, on average.
-FILTERS = 32
-#: Directions for each vector.
+CODES = 6
+BLOCKS = 2
+#: Directions of a code that a vector exceeds, on average.
+FILTERS = 16
+#: Directions of a code for each vector.
 DIRECTIONS = 8
 BLOCK_ROWS = 512
+#: Crowded caps are broadcast up to this number, and joined beyond it.
+SMALL_CAPS = 1_000_000
+#: Twice the relative rounding of half precision, and some more.
+HALF_ERROR = 1.1e-3
 
 
 def cap_height(dim: int, share: float) -> float:
@@ -76,8 +85,8 @@ class ProductCode:
 
 
 @functools.cache
-def product_code(dim: int, vectors: int) -> ProductCode:
-    return ProductCode(dim, vectors)
+def product_codes(dim: int, vectors: int) -> list[ProductCode]:
+    return [ProductCode(dim, vectors, seed) for seed in range(CODES)]
 
 
 def _matrix(column: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
@@ -89,39 +98,44 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _decoded(classes: DataFrame, vectors: int, kind: pa.DataType, kind_ddl: str) -> DataFrame:
-    """cap, rep, embedding: a row for each class and direction it exceeds."""
-    schema = pa.schema([("cap", pa.int64()), ("rep", pa.int64()), ("embedding", pa.list_(kind))])
+def _decoded(classes: DataFrame, vectors: int, with_units: bool) -> DataFrame:
+    """cap, and rep and unit (half precision) when asked for: a row for each class and direction it exceeds."""
+    schema = pa.schema([("cap", pa.int64())] + ([("rep", pa.int64()), ("unit", pa.binary())] if with_units else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
-                code = product_code(int(dim), vectors)
                 for lo in range(0, len(rows), 256):
                     own = rows[lo: lo + 256]
-                    at, cap = code.decode(_units(_matrix(batch.column(1), own, dim)))
-                    taken = pa.array(own[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(cap * 4096 + int(dim) % 4096), batch.column(0).take(taken), batch.column(1).take(taken).cast(pa.list_(kind))], schema=schema)
+                    units = _units(_matrix(batch.column(1), own, dim))
+                    halves = pa.array([h.tobytes() for h in units.astype("<f2")], pa.binary())
+                    for k, code in enumerate(product_codes(int(dim), vectors)):
+                        at, cap = code.decode(units)
+                        out = [pa.array((cap * CODES + k) * 4096 + int(dim) % 4096)]
+                        if with_units:
+                            out += [batch.column(0).take(pa.array(own[at])), halves.take(pa.array(at))]
+                        yield pa.RecordBatch.from_arrays(out, schema=schema)
 
-    return map_arrow(classes.select("rep", "embedding"), run, f"cap long, rep long, embedding array<{kind_ddl}>")
+    return map_arrow(classes.select("rep", "embedding"), run, "cap long" + (", rep long, unit binary" if with_units else ""))
 
 
 def _verified(rows: DataFrame, least_cosine: float) -> DataFrame:
-    """a, b of linked pairs among rows of one (cap, i, j): those of block i with those of block j, or within i."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """a, b, sure of pairs that link or might, among rows of one (cap, i, j): block i with block j, or within i."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
-    def pairs(reps: np.ndarray, blocks: np.ndarray, units: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(reps: np.ndarray, blocks: np.ndarray, units: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         left = np.flatnonzero(blocks == blocks.min())
         right = left if blocks.min() == blocks.max() else np.flatnonzero(blocks == blocks.max())
         for lo in range(0, len(left), BLOCK_ROWS):
             for start in range(0, len(right), BLOCK_ROWS):
                 p, q = left[lo: lo + BLOCK_ROWS], right[start: start + BLOCK_ROWS]
-                x, y = np.nonzero(units[p] @ units[q].T >= least_cosine)
+                cosine = units[p] @ units[q].T
+                x, y = np.nonzero(cosine >= least_cosine - HALF_ERROR)
                 a, b = reps[p[x]], reps[q[y]]
                 keep = (a > b) if right is left else (a != b)
-                yield np.maximum(a, b)[keep], np.minimum(a, b)[keep]
+                yield np.maximum(a, b)[keep], np.minimum(a, b)[keep], (cosine[x, y] >= least_cosine + HALF_ERROR)[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -140,42 +154,53 @@ def _verified(rows: DataFrame, least_cosine: float) -> DataFrame:
             return
         part = part.combine_chunks()
         reps, blocks = part.column("rep").to_numpy(), part.column("block").to_numpy()
-        column = part.column("embedding").combine_chunks()
-        a, b = [], []
+        column = part.column("unit").combine_chunks()
+        found = []
         lo = 0
         for hi in edges.tolist():
             if hi - lo > 1:
-                lengths = column.slice(lo, hi - lo).value_lengths().to_numpy(zero_copy_only=False)
+                units = [np.frombuffer(v.as_py(), "<f2").astype(np.float64) for v in column.slice(lo, hi - lo)]
+                lengths = np.array([len(u) for u in units])
                 for dim in np.unique(lengths):
-                    at = lo + np.flatnonzero(lengths == dim)
-                    for x, y in pairs(reps[at], blocks[at], _units(_matrix(column, at, dim))):
-                        a.append(x)
-                        b.append(y)
+                    at = np.flatnonzero(lengths == dim)
+                    found += pairs(reps[lo + at], blocks[lo + at], np.stack([units[i] for i in at]))
             lo = hi
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], schema=schema)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], schema=schema)
+
+    return map_arrow(rows, run, "a long, b long, sure boolean")
+
 
-    return map_arrow(rows, run, "a long, b long")
+def _decided(pairs: DataFrame, classes: DataFrame, least_cosine: float) -> DataFrame:
+    """Those of the pairs (a, b) whose cosine in double precision reaches the threshold."""
+    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    biggest = F.array_max(F.transform(doubles, F.abs))
+    scaled = classes.select("rep", F.transform(doubles, lambda x: x / biggest).alias("v"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    both = pairs.join(scaled.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(scaled.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
+    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return both.where(dot / (norm(F.col("va")) * norm(F.col("vb"))) >= least_cosine).select("a", "b")
 
 
 def link(vectors: DataFrame, least_cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
-    kind_ddl = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
-    kind = pa.float32() if kind_ddl == "float" else pa.float64()
-    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind_ddl}>").alias("embedding"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.where(usable)
     classes = staged(good.groupBy("embedding").agg(F.min("rid").alias("rep"), F.count("rid").alias("copies")), "vectors")
     members = staged(good.join(classes.select("embedding", "rep"), "embedding").select("rid", "vec_id", "rep"), "members")
 
-    decoded = staged(_decoded(classes, classes.count(), kind, kind_ddl), "caps")
-    sizes = decoded.groupBy("cap").agg(F.count("rep").alias("size")).where("size > 1")
-    crowded = decoded.join(sizes, "cap").withColumn("n", F.ceil(F.col("size") / BLOCK_ROWS))
-    blocked = crowded.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    placed = blocked.select("cap", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "embedding")
+    n = classes.count()
+    crowded = staged(_decoded(classes, n, False).groupBy("cap").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK_ROWS), "crowded-caps")
+    crowded = F.broadcast(crowded) if crowded.count() <= SMALL_CAPS else crowded
+    decoded = _decoded(classes, n, True).join(crowded, "cap", "left").withColumn("n", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK_ROWS))
+    blocked = decoded.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = blocked.select("cap", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "unit")
     verified = _verified(placed.repartition("cap", "i", "j").sortWithinPartitions("cap", "i", "j"), least_cosine)
-    links = staged(verified.distinct(), "cap-links")
+    pairs = staged(verified.groupBy("a", "b").agg(F.max("sure").alias("sure")), "cap-pairs")
+    links = staged(pairs.where("sure").select("a", "b").unionByName(_decided(pairs.where("not sure").select("a", "b"), classes, least_cosine)), "cap-links")
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = classes.select(F.col("rep").alias("b"), "copies")
