@@ -14,7 +14,6 @@ judged each. An empty benchmark leaves every document clean. Other columns are n
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,8 @@ from geofit.llm.common import blocks, buffers, map_arrow, run_bounds, staged
 WINDOW_WORDS = 10
 #: Bytes of benchmark text in one automaton; some 100 times as much memory in each task.
 AUTOMATON_BYTES = 2 << 20
+#: Contaminated rows are broadcast up to this number, and joined beyond it.
+SMALL_ROWS = 2_000_000
 
 #: Byte -> lower-cased byte, or a space for a separator.
 _NORMAL = bytes(
@@ -68,20 +69,19 @@ class Automaton:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """doc_id, n_words, hits (array of item ids), n_hit and spans (array of [from, to) in characters of the
-    original text: the maximal runs of hit words, from the first's start to the last's end)."""
+    """doc_id, n_words, hits (array of item ids), n_hit, spans (array of [from, to) in characters of the original
+    text: the maximal runs of hit words, from the first's start to the last's end) and row (the row's place in docs)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     # Blocks of items by running size of text; the sizes are summed in Spark, and a block is read when it is used.
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) * 2 // automaton_bytes)) if total > automaton_bytes else 1
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     if n_blocks == 1:
-        return _scan(docs, [tuple(r) for r in items.collect()], size)
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+        return _scan(docs, [tuple(r) for r in items.collect()], size).drop("word_runs")
     parts = []
     for k in range(n_blocks):
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()]
-        parts.append(staged(_scan(docs, own, size, keep_row=True), "scan"))
+        parts.append(staged(_scan(docs, own, size), "scan"))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
@@ -94,20 +94,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, automa
         "word_runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda a, r: F.struct((a.n + F.greatest(F.lit(0), r[1] - F.greatest(r[0], a.end))).alias("n"), F.greatest(a.end, r[1]).alias("end")),
     )
-    return merged.select("doc_id", "n_words", "hits", united.n.alias("n_hit"), F.array_sort("spans").alias("spans"))
+    return merged.select("doc_id", "n_words", "hits", united.n.alias("n_hit"), F.array_sort("spans").alias("spans"), "row")
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str | None]], size: int, keep_row: bool = False) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[str, str | None]], size: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.string())), ("n_hit", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64())))]
-    fields += [("row", pa.int64()), ("word_runs", pa.list_(pa.list_(pa.int64())))] if keep_row else []
+    fields += [("row", pa.int64()), ("word_runs", pa.list_(pa.list_(pa.int64())))]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(shared.value, size)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows = batch.column(2).to_pylist() if keep_row else None
+            rows = batch.column(2).to_pylist()
             data, offsets = buffers(batch.column(1))
             for lo, hi in blocks(offsets):
                 out: dict[str, list] = {name: [] for name in schema.names}
@@ -116,13 +116,12 @@ def _scan(docs: DataFrame, items: list[tuple[str, str | None]], size: int, keep_
                     words = original.tobytes().translate(_NORMAL).split()
                     found = [] if machine.empty or not words else machine.find(b" " + b" ".join(words) + b" ")
                     hits, runs, spans = _place(found, words, original, machine) if found else ([], [], [])
-                    values = [ids[k], len(words), hits, sum(b - a for a, b in runs), spans]
-                    values += [rows[k], runs] if keep_row else []
+                    values = [ids[k], len(words), hits, sum(b - a for a, b in runs), spans, rows[k], runs]
                     for name, v in zip(schema.names, values):
                         out[name].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    ddl = "doc_id long, n_words long, hits array<string>, n_hit long, spans array<array<long>>" + (", row long, word_runs array<array<long>>" if keep_row else "")
+    ddl = "doc_id long, n_words long, hits array<string>, n_hit long, spans array<array<long>>, row long, word_runs array<array<long>>"
     return map_arrow(docs, run, ddl)
 
 
@@ -151,4 +150,8 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs."""
+    hit = staged(scan(docs, benchmark, size).where("n_hit > 0").select(F.col("row").alias("__row")), "contaminated")
+    hit = F.broadcast(hit) if hit.count() <= SMALL_ROWS else hit
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(hit, "__row", "left_anti").drop("__row")

@@ -61,8 +61,8 @@ def _sets(rows: DataFrame, k: int, fields: list[tuple[str, pa.DataType]], ddl: s
     return map_arrow(rows.select("rid", "text"), run, ddl)
 
 
-def link(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+def rooted(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """rid (place in docs), doc_id, n (size of the set), root (the same for all rows of a component)."""
     similar = Similar(num, den)
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -83,7 +83,12 @@ def link(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     split = own.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     several = own.join(split.select("doc_id", "a"), "doc_id").where("n > 0").select("a", F.col("root").alias("b"))
     joined = components(several)
-    own = own.join(joined.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("component", "root")).drop("component")
+    return own.join(joined.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("component", "root")).drop("component")
+
+
+def link(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    own = rooted(docs, k, num, den)
     least = own.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = own.join(least, "root", "left")
     return named.select(
@@ -92,6 +97,14 @@ def link(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the one of least doc_id stays (ties by place)."""
+    own = staged(rooted(docs, k, num, den).where("n > 0"), "components")
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("rid"))
+    spare = staged(own.join(first, "rid", "left_anti").select("rid"), "near-duplicates")
+    return by_ids(docs.withColumn("rid", F.monotonically_increasing_id()), spare, "left_anti").drop("rid")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
     """Those of the pairs (a, b) of rids whose sets link."""
     left = sets.select(F.col("rid").alias("a"), F.col("tokens").alias("ta"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geofit.llm import chat_format, decontam, jaccard_join, langid, packing, sharding, sphere_caps, url_filter, warc_fixity
+from geofit.llm import chat_format, decontam, jaccard_join, langid, packing, sharding, sphere_caps, suffix_dedup, url_filter, warc_fixity
 from geofit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op2_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+@query
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
