@@ -312,7 +312,7 @@ def strip(docs: DataFrame, length: int) -> DataFrame:
     numbered = docs.withColumn("rid", F.monotonically_increasing_id())
     ranges = repeated_ranges(numbered.select("rid", F.col("text").cast("string")), length)
     joined = numbered.join(_small(ranges), "rid", "left").drop("rid")
-    at, found = docs.columns.index("text"), len(docs.columns)
+    names, at, found = docs.columns, docs.columns.index("text"), len(docs.columns)
     out = StructType([StructField(f.name, StringType() if f.name == "text" else LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,9 +320,9 @@ def strip(docs: DataFrame, length: int) -> DataFrame:
             texts = [t if t is None or not r else _without(t.encode("utf-8"), _union(r)).decode("utf-8", "ignore") for t, r in zip(batch.column(at).to_pylist(), batch.column(found).to_pylist())]
             columns = list(batch.columns)[:found]
             columns[at] = pa.array(texts, pa.string())
-            if "n_chars" in docs.columns:
-                columns[docs.columns.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_arrow(joined, run, out)
 
