@@ -94,7 +94,7 @@ class SpanHash:
     @classmethod
     def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if cls._powers is None or len(cls._powers[0]) <= n:
-            size = max(n + 1, TEXT_BLOCK + 1)
+            size = 2 * n + 1
             inverse = pow(cls.BASE, -1, 1 << 64)
             made = []
             for base in (cls.BASE, inverse):
