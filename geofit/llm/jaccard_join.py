@@ -41,9 +41,9 @@ COMMON = 12
 SMALL_IDS = 4_000_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """left_semi or left_anti join on rid; the ids are broadcast if there are few enough."""
-    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, "rid", how)
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, name: str = "rid") -> DataFrame:
+    """left_semi or left_anti join on ids; they are broadcast if there are few enough."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, name, how)
 
 
 def _sets(rows: DataFrame, k: int, fields: list[tuple[str, pa.DataType]], ddl: str, make) -> DataFrame:
@@ -102,7 +102,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     own = staged(rooted(docs, k, num, den).where("n > 0"), "components")
     first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("rid"))
     spare = staged(own.join(first, "rid", "left_anti").select("rid"), "near-duplicates")
-    return by_ids(docs.withColumn("rid", F.monotonically_increasing_id()), spare, "left_anti").drop("rid")
+    return by_ids(docs.withColumn("__rid", F.monotonically_increasing_id()), spare.withColumnRenamed("rid", "__rid"), "left_anti", "__rid").drop("__rid")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:

@@ -49,12 +49,11 @@ HALF_ERROR = 1.1e-3
 
 def cap_height(dim: int, share: float) -> float:
     """The inner product with a fixed unit vector that this share of random unit vectors exceeds."""
-    if dim == 1:
-        return 0.0
-    t = np.linspace(-1, 1, 400_001)
-    density = np.maximum(1 - t * t, 1e-300) ** ((dim - 3) / 2)
-    above = np.cumsum(density[::-1])[::-1]
-    return float(t[np.searchsorted(-above / above[0], -share)])
+    if share >= 1 or dim == 1:
+        return -2.0  # all exceed it
+    angle = np.linspace(0, np.pi, 400_001)
+    within = np.cumsum(np.sin(angle) ** (dim - 2))  # the share of the sphere within this angle of the vector
+    return float(np.cos(angle[np.searchsorted(within / within[-1], share)]))
 
 
 class ProductCode:

@@ -311,9 +311,9 @@ def _without(raw: bytes, gone: list[list[int]]) -> bytes:
 def strip(docs: DataFrame, length: int) -> DataFrame:
     """docs with text replaced by what is left of it, and n_chars by its length where there is such a column. A
     character of which a byte is removed goes whole; null text stays null."""
-    numbered = docs.withColumn("rid", F.monotonically_increasing_id())
-    ranges = repeated_ranges(numbered.select("rid", F.col("text").cast("string")), length)
-    joined = numbered.join(_small(ranges), "rid", "left").drop("rid")
+    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    ranges = repeated_ranges(numbered.select(F.col("__rid").alias("rid"), F.col("text").cast("string").alias("text")), length)
+    joined = numbered.join(_small(ranges.select(F.col("rid").alias("__rid"), F.col("ranges").alias("__ranges"))), "__rid", "left").drop("__rid")
     names, at, found = docs.columns, docs.columns.index("text"), len(docs.columns)
     out = StructType([StructField(f.name, StringType() if f.name == "text" else LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema.fields])
 
