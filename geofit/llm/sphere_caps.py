@@ -36,6 +36,8 @@ from geofit.llm.components import components
 
 CODES = 6
 BLOCKS = 2
+#: Shorter vectors are rotated into a space of this dimension, where random directions are fine enough.
+LEAST_DIM = 16
 #: Directions of a code that a vector exceeds, on average.
 FILTERS = 16
 #: Directions of a code for each vector.
@@ -49,7 +51,7 @@ HALF_ERROR = 1.1e-3
 
 def cap_height(dim: int, share: float) -> float:
     """The inner product with a fixed unit vector that this share of random unit vectors exceeds."""
-    if share >= 1 or dim == 1:
+    if share >= 1:
         return -2.0  # all exceed it
     angle = np.linspace(0, np.pi, 400_001)
     within = np.cumsum(np.sin(angle) ** (dim - 2))  # the share of the sphere within this angle of the vector
@@ -59,9 +61,10 @@ def cap_height(dim: int, share: float) -> float:
 class ProductCode:
     def __init__(self, dim: int, vectors: int, seed: int = 0):
         rng = np.random.default_rng([seed, dim])
-        m = min(BLOCKS, dim)
+        dim, own = max(dim, LEAST_DIM), dim
+        m = BLOCKS
         words = max(2, int(np.ceil((DIRECTIONS * max(vectors, FILTERS)) ** (1 / m))))
-        self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+        self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0][:own]
         self.blocks = np.array_split(np.arange(dim), m)
         self.words = []
         for block in self.blocks:
