@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # State code and postal code of the 50 states and DC.
-STATES = """
-01 AL, 02 AK, 04 AZ, 05 AR, 06 CA, 08 CO, 09 CT, 10 DE, 11 DC, 12 FL, 13 GA, 15 HI, 16 ID,
-17 IL, 18 IN, 19 IA, 20 KS, 21 KY, 22 LA, 23 ME, 24 MD, 25 MA, 26 MI, 27 MN, 28 MS, 29 MO,
-30 MT, 31 NE, 32 NV, 33 NH, 34 NJ, 35 NM, 36 NY, 37 NC, 38 ND, 39 OH, 40 OK, 41 OR, 42 PA,
-44 RI, 45 SC, 46 SD, 47 TN, 48 TX, 49 UT, 50 VT, 51 VA, 53 WA, 54 WV, 55 WI, 56 WY
-"""
-STATE_USPS = dict(pair.split() for pair in STATES.replace("\n", " ").split(","))
+STATE_USPS = {
+    "01": "AL", "02": "AK", "04": "AZ", "05": "AR", "06": "CA", "08": "CO", "09": "CT", "10": "DE", "11": "DC",
+    "12": "FL", "13": "GA", "15": "HI", "16": "ID", "17": "IL", "18": "IN", "19": "IA", "20": "KS", "21": "KY",
+    "22": "LA", "23": "ME", "24": "MD", "25": "MA", "26": "MI", "27": "MN", "28": "MS", "29": "MO", "30": "MT",
+    "31": "NE", "32": "NV", "33": "NH", "34": "NJ", "35": "NM", "36": "NY", "37": "NC", "38": "ND", "39": "OH",
+    "40": "OK", "41": "OR", "42": "PA", "44": "RI", "45": "SC", "46": "SD", "47": "TN", "48": "TX", "49": "UT",
+    "50": "VT", "51": "VA", "53": "WA", "54": "WV", "55": "WI", "56": "WY",
+}
 
 # Digits in a key, by level.
 KEY_WIDTH = {"state": 2, "county": 5, "place": 7, "metro": 5, "district": 7}

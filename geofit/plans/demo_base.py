@@ -86,7 +86,7 @@ def county_id(c):
 def universe(spark, sf):
     c, o, n = table(spark, sf, "customer"), table(spark, sf, "orders"), table(spark, sf, "nation")
     pop = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("population"))
-    places = c.where("c_acctbal >= 0").join(pop, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+    places = c.join(pop, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         F.lit("place").alias("geo_level"), place_id("c_custkey").alias("geo_id"), F.col("c_name").alias("name"),
         F.concat(F.lit("R"), (F.col("c_nationkey") % 5).cast("string")).alias("state_usps"),
         county_id("c_nationkey").alias("county_geoid"), "population",
@@ -214,7 +214,7 @@ SELECT 'county' AS geo_level, lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS geo_
 UNION ALL
 SELECT 'place', lpad(CAST(c_custkey AS VARCHAR), 9, '0'), c_name, 'R' || (c_nationkey % 5), lpad(CAST(c_nationkey AS VARCHAR), 5, '0'),
   p.n, 25 + (c_custkey * 29 % 2400) / 100, -124 + (c_custkey * 41 % 5700) / 100
-FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) p ON o_custkey = c_custkey WHERE c_acctbal >= 0""")
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) p ON o_custkey = c_custkey""")
 cte("s_per", """
 SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / 100.0::DOUBLE AS spend, count(*) AS n, max(o_totalprice) AS big,
   count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderstatus = 'O') AS open FROM orders GROUP BY 1""")

@@ -48,9 +48,9 @@ def c3(spark, sf):
 
 @query("c3_dropped_facts", """
 SELECT indicator_id, count(*) AS n_dropped FROM s_facts f WHERE NOT EXISTS (
-  SELECT 1 FROM s_univ u WHERE u.geo_level = f.geo_level AND u.geo_id = f.geo_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3""")
+  SELECT 1 FROM s_univ u WHERE u.population > 0 AND u.geo_level = f.geo_level AND u.geo_id = f.geo_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3""")
 def c3_dropped(spark, sf):
-    return feat.dropped_facts(base.facts(spark, sf), base.universe(spark, sf))
+    return feat.dropped_facts(base.facts(spark, sf), base.universe(spark, sf).where("population > 0"))
 
 
 cte("s_cov", """

@@ -327,10 +327,11 @@ HAZARD_SCORES = {
     "DRGT_RISKS": "hazard_nri_drought",
     "TRND_RISKS": "hazard_nri_tornado",
 }
+# Columns of expected deaths in the hazard file.
 HAZARD_LOSSES = (
-    "AVLN_EALP CFLD_EALP CWAV_EALP ERQK_EALP HAIL_EALP HWAV_EALP HRCN_EALP ISTM_EALP LNDS_EALP "
-    "LTNG_EALP IFLD_EALP SWND_EALP TRND_EALP TSUN_EALP VLCN_EALP WFIR_EALP WNTW_EALP"
-).split()
+    "AVLN_EALP", "CFLD_EALP", "CWAV_EALP", "ERQK_EALP", "HAIL_EALP", "HWAV_EALP", "HRCN_EALP", "ISTM_EALP", "LNDS_EALP",
+    "LTNG_EALP", "IFLD_EALP", "SWND_EALP", "TRND_EALP", "TSUN_EALP", "VLCN_EALP", "WFIR_EALP", "WNTW_EALP",
+)
 
 
 def nri_hazards(raw: DataFrame, scores=HAZARD_SCORES, losses=HAZARD_LOSSES) -> DataFrame:
