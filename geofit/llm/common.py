@@ -43,11 +43,11 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets of a string column; null rows are empty."""
+    """Bytes and row offsets of a string (UTF-8) or binary column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-    column = column.fill_null("") if column.null_count else column
+    column = column.cast(pa.large_binary())
+    column = column.fill_null(b"") if column.null_count else column
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offs, data = column.buffers()
@@ -104,6 +104,11 @@ class SpanHash:
             cls._powers = made[0], made[1]
         return cls._powers
 
+    def rolling(self, n: int) -> np.ndarray:
+        """Hashes of all spans of n bytes, by start."""
+        at = len(self.sums) - n
+        return mix((self.sums[n:] - self.sums[:at]) * self.powers(len(self.sums))[1][:at])
+
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         _, down = self.powers(len(self.sums))
         return mix((self.sums[ends] - self.sums[starts]) * down[starts])

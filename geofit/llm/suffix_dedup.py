@@ -10,13 +10,15 @@ times, so the sort is told first what cannot repeat, and what repeats alike:
 2. Each task sorts its spans as strings and sends the sorted run front-coded: the length shared with the string
    before, and the rest. A task that receives runs merges them with a loser tree over those lengths. Equal spans,
    neighbours with nothing but common prefix, repeat with all their windows and are one string from here on.
-3. Where a gram has several different spans, their windows are sorted: a run holds each span's text once, and the
-   sorted suffixes as references with the lengths they share. The merge finds the windows that repeat.
+3. Where a gram has several different spans, each is cut into parts by the windows' distance to the anchor, which is
+   the same for equal windows. All windows of a part hold its core; parts whose core occurs once leave, too. The
+   windows of the rest are sorted: a run holds each part's text once, and the sorted suffixes as references with the
+   lengths they share. The merge finds the windows that repeat.
 4. What repeats is looked up for every document that holds the span, as byte ranges, which are united and cut out.
 
-Runs go to buckets by the span's hash (2) or the gram (3), of bounded mean size. A gram of more than HOT spans is
-dealt by the windows' distance to the anchor too, which is the same for equal windows. Within a run equal strings are
-sent once. Lists are broadcast only when counted below SMALL_ROWS; else they are joined.
+Runs go to buckets by the span's hash (2) or the core (3), of bounded mean size. A core of more than HOT parts is
+dealt by the windows' exact distance to the anchor too. Within a run of (2) equal strings are sent once. Lists are
+broadcast only when counted below SMALL_ROWS; else they are joined.
 
 Null text is empty; texts shorter than `length` hold nothing to find; repeated rows are documents of their own, and
 a null doc_id is kept. Other columns are carried by `cut` only when asked for.
@@ -38,49 +40,53 @@ from geofit.llm.loser_tree import common_prefix, merge, prefixes
 
 MIN_BYTES = 400
 HOT = 1000
-#: Windows' distances to the anchor in one bucket of a hot gram.
+#: Windows' distances to the anchor in one part of a span.
 NEAR = 32
 SPANS_A_BUCKET = 500
+PARTS_A_BUCKET = 2000
 #: Bytes of text whose spans are found at a time: its arrays of 64-bit numbers stay in the processor's cache.
-SPAN_BLOCK = 1 << 16
+SPAN_BLOCK = 1 << 15
 #: Bytes of spans that a task sorts into one set of runs.
 RUN_BYTES = 8 << 20
 SMALL_ROWS = 2_000_000
 
 
-def _least(h: np.ndarray, w: int, worst: np.generic, pick: np.ufunc) -> np.ndarray:
-    """pick (minimum or maximum) of each w neighbours."""
-    rows = -(-len(h) // w)
-    x = np.full(rows * w, worst, h.dtype)
-    x[: len(h)] = h
-    x = x.reshape(rows, w)
-    ahead = pick.accumulate(x, axis=1).ravel()
-    back = pick.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(h) - w + 1
-    return pick(back[:n], ahead[w - 1: w - 1 + n])
+def _least(h: np.ndarray, w: int, pick: np.ufunc) -> np.ndarray:
+    """pick (minimum or maximum) of each w neighbours, from those of 2, 4, 8, ... neighbours."""
+    n, known = len(h) - w + 1, 1
+    while 2 * known <= w:
+        h = pick(h[:-known], h[known:])
+        known *= 2
+    return pick(h[:n], h[w - known: w - known + n])
+
+
+def _gram(length: int) -> int:
+    """Bytes of the grams among which windows of this length have their anchor."""
+    return max(1, min(64, length // 4))
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Document, first and last window start, anchor (positions in the block), gram and hash of each span."""
-    gram = max(1, min(64, length // 4))
+    gram = _gram(length)
     w = length - gram + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     hashes = SpanHash(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = hashes(at, at + gram)
-    least = _least(grams, w, np.uint64(2**64 - 1), np.minimum)
+    grams = hashes.rolling(gram)
+    least = _least(grams, w, np.minimum)
     inside = np.ones(len(least), bool)
     for end in offsets[1:-1]:  # windows that would cross documents
         inside[max(0, end - length + 1): end] = False
     starts = np.flatnonzero(inside)
     wanted = least[starts]
     # Places that are some window's least gram, and for each window the first of them that is its own.
-    reach = _least(np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), w, np.uint64(0), np.maximum)
-    chosen = np.flatnonzero(grams == reach)
-    k = np.searchsorted(chosen, starts)
-    while len(open_ := np.flatnonzero(grams[chosen[k]] != wanted)):
+    reach = _least(np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), w, np.maximum)
+    is_chosen = grams == reach
+    chosen = np.flatnonzero(is_chosen)
+    k = (np.cumsum(is_chosen) - is_chosen)[starts]
+    open_ = np.arange(len(k))
+    while len(open_ := open_[grams[chosen[k[open_]]] != wanted[open_]]):
         k[open_] += 1
     anchor = chosen[k]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(starts) else none
@@ -203,22 +209,43 @@ def distinct_spans(rows: DataFrame, buckets: int) -> DataFrame:
     return _merged(_runs(rows, _RUN, _RUN_DDL, runs), _STRING, "gram long, span long, before long, copies long, text binary", merged)
 
 
+def _part_cores(spans_: DataFrame, length: int) -> DataFrame:
+    """gram, span, part, core of rows (gram, span, before, text): the parts that the span's windows fall into, by their
+    distance to the anchor over NEAR, and the hash of the bytes that all windows of such a part hold."""
+    schema = pa.schema([("gram", pa.int64()), ("span", pa.int64()), ("part", pa.int64()), ("core", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, span, before = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "span", "before"))
+            data, offsets = buffers(batch.column("text"))
+            for lo, hi in blocks(offsets):
+                base = offsets[lo:hi] - offsets[lo]
+                hashes = SpanHash(data[offsets[lo]: offsets[hi]])
+                most = before[lo:hi]  # the first window's distance; the last one's follows from the text's length
+                least = most - (np.diff(offsets[lo: hi + 1]) - length)
+                first = least // NEAR
+                n = most // NEAR - first + 1
+                row = np.repeat(np.arange(hi - lo), n)
+                part = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                anchor = base[row] + most[row]
+                core = hashes(anchor - part * NEAR, anchor + length - np.minimum(part * NEAR + NEAR - 1, length - _gram(length)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[lo + row], span[lo + row], part, core.view(np.int64))], schema=schema)
+
+    return map_arrow(spans_.select("gram", "span", "before", "text"), run, "gram long, span long, part long, core long")
+
+
 def repeated_windows(rows: DataFrame, buckets: int, length: int) -> DataFrame:
-    """gram, span, start, end: windows [start, end] of a span that equal a window of another, from distinct spans
-    (with `hot`) whose gram has several; spans that repeat whole take part but are not told of."""
+    """gram, span, start, end: windows [start, end] of a span that equal a window of another, from distinct spans with
+    `parts` (part, core, hot); spans that repeat whole take part but are not told of."""
     def runs(held: list[dict]) -> Iterator[dict]:
         by: dict[int, list[tuple[dict, int, int]]] = {}  # spans with the windows [a, b) that belong there
         for r in held:
             n = len(r["text"]) - length + 1
-            if not r["hot"]:
-                by.setdefault(hash((r["gram"], -1)) % buckets, []).append((r, 0, n))
-                continue
-            a = 0
-            while a < n:
-                far = (r["before"] - a) // NEAR  # of windows whose distance to the anchor is in this part
-                b = min(n, r["before"] - far * NEAR + 1)
-                by.setdefault(hash((r["gram"], far)) % buckets, []).append((r, a, b))
-                a = b
+            for p in r["parts"]:
+                a, b = max(0, r["before"] - p["part"] * NEAR - NEAR + 1), min(n, r["before"] - p["part"] * NEAR + 1)
+                for s, e in zip(range(a, b), range(a + 1, b + 1)) if p["hot"] else [(a, b)]:
+                    far = r["before"] - s if p["hot"] else -1
+                    by.setdefault(hash((p["core"], far)) % buckets, []).append((r, s, e))
         for bucket, own in by.items():
             texts = [r["text"][a: b + length - 1] for r, a, b in own]
             listed = sorted((t[s: s + length], k, s) for k, t in enumerate(texts) for s in range(len(t) - length + 1))
@@ -261,9 +288,14 @@ def repeated_ranges(texts: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     buckets = max(4 * parallel, several.count() // SPANS_A_BUCKET)
     strings = staged(distinct_spans(_spans(texts, length, True).join(twice, "gram", "left_semi").select("gram", "span", "before", "text"), buckets), "distinct-spans")
 
-    per_gram = strings.groupBy("gram").agg(F.count("span").alias("n")).where("n > 1").select("gram", (F.col("n") > HOT).alias("hot"))
-    mixed = strings.join(_small(staged(per_gram, "mixed-grams")), "gram")
-    windows = staged(repeated_windows(mixed.repartition(2 * parallel), max(4 * parallel, mixed.count() // SPANS_A_BUCKET * 4), length), "repeated-windows")
+    per_gram = strings.groupBy("gram").agg(F.count("span").alias("n")).where("n > 1").select("gram")
+    mixed = strings.join(_small(staged(per_gram, "mixed-grams")), "gram", "left_semi")
+    parts = staged(_part_cores(mixed, length), "parts")
+    cores = parts.groupBy("core").agg(F.count("part").alias("n")).where("n > 1").select("core", (F.col("n") > HOT).alias("hot"))
+    open_parts = staged(parts.join(_small(staged(cores, "repeated-cores")), "core"), "open-parts")
+    owners = open_parts.groupBy("gram", "span").agg(F.collect_list(F.struct("part", "core", "hot")).alias("parts"))
+    dealt = strings.join(owners, ["gram", "span"]).repartition(2 * parallel)
+    windows = staged(repeated_windows(dealt, max(4 * parallel, open_parts.count() // PARTS_A_BUCKET), length), "repeated-windows")
 
     whole = strings.where("copies > 1").select("gram", "span")
     covered = several.join(whole, ["gram", "span"]).select("rid", F.col("at").alias("from"), (F.col("last") + length).alias("to"))

@@ -85,6 +85,7 @@ def test_repeated_substrings_match_brute_force(spark, monkeypatch):
     want = brute_repeats(docs, 16)
     for hot in (1000, 3):
         monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "NEAR", 5)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut(frame(spark, docs), 16).collect()}
         assert got == want
     assert suffix_dedup.cut(frame(spark, []), 16).count() == 0
