@@ -58,7 +58,7 @@ def c9(spark, sf):
 
 # ------------------------------------------------------------------------- F1-F5
 
-PRICE_MONTHS = [f"{1996 + m // 12}-{m % 12 + 1:02d}-28" for m in range(66)]
+PRICE_MONTHS = src.MONTHS
 
 
 def price_months(spark, sf):
@@ -68,8 +68,8 @@ def price_months(spark, sf):
 
 
 cte("f_app", """
-SELECT geo_id, (b - a) / a AS appreciation FROM (SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey AS VARCHAR), 5, '0') AS geo_id,
-  sum(l_quantity) FILTER (strftime(l_shipdate, '%Y-%m') = '1996-06') AS a, sum(l_quantity) FILTER (strftime(l_shipdate, '%Y-%m') = '2001-06') AS b
+SELECT geo_id, (b - a) / a AS appreciation FROM (SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS geo_id,
+  sum(l_quantity) FILTER (strftime(l_shipdate, '%Y-%m') = '1996-11') AS a, sum(l_quantity) FILTER (strftime(l_shipdate, '%Y-%m') = '2001-11') AS b
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) WHERE a > 0 AND b IS NOT NULL""")
 
 
@@ -100,7 +100,7 @@ def f2(spark, sf):
 
 
 cte("f_scores", """
-SELECT p AS profile_id, lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey AS VARCHAR), 5, '0') AS geo_id,
+SELECT p AS profile_id, lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS geo_id,
   sum(CAST(round(CASE p WHEN 'p1' THEN l_discount ELSE l_tax END * 100) AS BIGINT)) / count(*) / 10 AS score
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey, (VALUES ('p1'), ('p2')) t(p) GROUP BY 1, 2""")
 

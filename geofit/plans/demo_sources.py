@@ -47,22 +47,28 @@ def text(c):
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def suppliers(spark, sf):
+def components(df):
     """Suppliers with county components as unpadded text."""
-    return du.coords(table(spark, sf, "supplier"), "s_suppkey", 37, 53, 17).withColumns({
-        "st": text(F.col("s_nationkey") + 1), "co": text("s_suppkey"), "k": F.col("s_suppkey"),
-        "key": text((F.col("s_nationkey") + 1) * 1000 + F.col("s_suppkey"))})
+    return df.withColumns({"st": text(F.col("s_nationkey") + 1), "co": text(F.col("s_suppkey") % 1000), "key": du.county_code()})
+
+
+def suppliers(spark, sf):
+    """The suppliers that name counties."""
+    return components(du.coords(du.county_rows(spark, sf), "s_suppkey", 37, 53, 17)).withColumn("k", F.col("s_suppkey"))
 
 
 def lines(spark, sf):
-    s = suppliers(spark, sf)
+    """Every line with its supplier's county."""
+    s = components(table(spark, sf, "supplier")).withColumn("k", F.col("s_suppkey") % 1000)
     return table(spark, sf, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
 
 
 cte("b_sup", """
-SELECT s_suppkey AS k, s_nationkey AS nk, s_acctbal, s_name, lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey AS VARCHAR), 5, '0') AS geo_id
-FROM supplier JOIN states ON code = lpad(CAST(s_nationkey + 1 AS VARCHAR), 2, '0')""")
-cte("b_line", "SELECT * FROM lineitem JOIN b_sup ON k = l_suppkey")
+SELECT s_suppkey AS k, s_nationkey AS nk, s_acctbal, s_name, lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS geo_id
+FROM sup1 JOIN states ON code = lpad(CAST(s_nationkey + 1 AS VARCHAR), 2, '0')""")
+cte("b_line", """
+SELECT l.*, s_suppkey % 1000 AS k, lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS geo_id
+FROM lineitem l JOIN supplier ON s_suppkey = l_suppkey JOIN states ON code = lpad(CAST(s_nationkey + 1 AS VARCHAR), 2, '0')""")
 
 
 def county(indicator, value, source="b_sup", tail="", places=6):
@@ -116,16 +122,16 @@ def b2(spark, sf):
 
 def matrices(spark, sf):
     """Each customer's survey answer as a two-row matrix file."""
-    c = table(spark, sf, "customer")
+    c = du.place_rows(spark, sf)
     pop = F.when(F.col("c_custkey") % 9 == 4, "").otherwise(text((F.col("c_acctbal") * 10).cast("bigint")))
     body = F.array(F.array(F.lit("NAME"), F.lit("B01003_001E"), F.lit("state"), F.lit("place")),
-                   F.array(F.col("c_name"), pop, text(F.col("c_nationkey") + 1), text("c_custkey")))
+                   F.array(F.col("c_name"), pop, text(F.col("c_nationkey") + 1), text(F.col("c_custkey") % 100000)))
     return readers.json_matrix(c.select(F.to_json(body).alias("value")))
 
 
 cte("b_mat", """
-SELECT c_name, lpad(CAST((c_nationkey + 1) * 100000 + c_custkey AS VARCHAR), 7, '0') AS geo_id,
-  CASE WHEN c_custkey % 9 <> 4 THEN CAST(trunc(c_acctbal * 10) AS BIGINT) END AS pop FROM customer""")
+SELECT c_name, lpad(CAST((c_nationkey + 1) * 100000 + c_custkey % 100000 AS VARCHAR), 7, '0') AS geo_id,
+  CASE WHEN c_custkey % 9 <> 4 THEN CAST(trunc(c_acctbal * 10) AS BIGINT) END AS pop FROM cus1""")
 
 
 @query("b3_read_json_matrix", "SELECT 1 AS row_no, c_name AS name, CAST(pop AS VARCHAR) AS pop FROM b_mat")
@@ -148,14 +154,14 @@ def b4_population(spark, sf):
 def bulk(spark, sf):
     k = F.col("c_custkey")
     prefix = F.when(k % 6 == 5, "0400000US").otherwise("1600000US")
-    return table(spark, sf, "customer").select(
-        F.concat(prefix, F.lpad(text((F.col("c_nationkey") + 1) * 100000 + k), 7, "0")).alias("geo_id"),
+    return du.place_rows(spark, sf).select(
+        F.concat(prefix, F.lpad(du.place_code(), 7, "0")).alias("geo_id"),
         F.when(k % 8 == 7, "x").otherwise(text("c_acctbal")).alias("b01003_e001"))
 
 
 @query("b5_acs_bulk_scan", """
-SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey AS VARCHAR), 7, '0') AS geo_id, CAST(trunc(c_acctbal) AS BIGINT) AS value
-FROM customer JOIN states ON code = lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') WHERE c_custkey % 6 <> 5 AND c_custkey % 8 <> 7 AND trunc(c_acctbal) >= 0""")
+SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey % 100000 AS VARCHAR), 7, '0') AS geo_id, CAST(trunc(c_acctbal) AS BIGINT) AS value
+FROM cus1 JOIN states ON code = lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') WHERE c_custkey % 6 <> 5 AND c_custkey % 8 <> 7 AND trunc(c_acctbal) >= 0""")
 def b5(spark, sf):
     return no.acs_bulk_scan(bulk(spark, sf), "b01003_e001")
 
@@ -163,9 +169,9 @@ def b5(spark, sf):
 RATIOS = {"cost_income_to_home_ratio": ("rent", "income", "place"), "form_mean_commute": ("minutes", "riders", "place"),
           "comm_median_age": ("minutes", None, "place"), "cost_property_tax_rate": ("rent", "income", "county")}
 cte("b_cells", """
-SELECT lpad(CAST(o_custkey AS VARCHAR), CASE WHEN o_custkey % 4 = 1 THEN 5 ELSE 7 END, '0') AS geo_id,
+SELECT CASE WHEN o_custkey % 4 = 1 THEN lpad(CAST(o_custkey % 100000 AS VARCHAR), 5, '0') ELSE lpad(CAST(o_custkey % 10000000 AS VARCHAR), 7, '0') END AS geo_id,
   max(o_totalprice) FILTER (o_orderstatus = 'F') AS rent, max(o_totalprice) FILTER (o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT') AS income,
-  count(*)::DOUBLE AS minutes, count(*) FILTER (o_orderpriority = '5-LOW')::DOUBLE AS riders FROM orders GROUP BY o_custkey""")
+  count(*)::DOUBLE AS minutes, count(*) FILTER (o_orderpriority = '5-LOW')::DOUBLE AS riders FROM orders GROUP BY 1""")
 
 
 @query("b6_acs_ratio_indicators", """
@@ -175,13 +181,13 @@ UNION ALL SELECT 'place', geo_id, 'comm_median_age', round(minutes, 6) FROM b_ce
 UNION ALL SELECT 'county', geo_id, 'cost_property_tax_rate', round(CASE WHEN income > 0 THEN rent / income END, 6) FROM b_cells WHERE length(geo_id) = 5 AND rent IS NOT NULL""")
 def b6(spark, sf):
     o = table(spark, sf, "orders")
-    key = F.lpad(text("o_custkey"), 7, "0")
+    key = F.lpad(text(F.col("o_custkey") % 10000000), 7, "0")
     key = F.when(F.col("o_custkey") % 4 == 1, F.substring(key, 3, 5)).otherwise(key)
-    one = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("minutes"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("riders"))
+    one = o.groupBy(key.alias("geo_id")).agg(F.count(F.lit(1)).alias("minutes"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("riders"))
     cells = (
         o.where("o_orderstatus = 'F'").select(key.alias("geo_id"), F.lit("rent").alias("variable"), F.col("o_totalprice").alias("value"))
         .unionByName(o.where("o_orderstatus = 'O' and o_orderpriority <> '1-URGENT'").select(key.alias("geo_id"), F.lit("income").alias("variable"), F.col("o_totalprice").alias("value")))
-        .unionByName(one.select(key.alias("geo_id"), F.inline(F.array(
+        .unionByName(one.select("geo_id", F.inline(F.array(
             F.struct(F.lit("minutes").alias("variable"), F.col("minutes").cast("double").alias("value")),
             F.struct(F.lit("riders").alias("variable"), F.col("riders").cast("double").alias("value")))))))
     return emitted(spark, no.acs_ratio_indicators(cells, RATIOS))
@@ -196,11 +202,11 @@ def b7(spark, sf):
 
 
 def pep(spark, sf):
-    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    c, s = du.place_rows(spark, sf), du.county_rows(spark, sf)
     bal = lambda b: text(F.abs(F.col(b)))
     places = c.select(F.when(F.col("c_mktsegment") == "BUILDING", "061").otherwise("162").alias("sumlev"), text(F.col("c_nationkey") + 1).alias("state"),
-                      F.lit("0").alias("county"), text("c_custkey").alias("place"), bal("c_acctbal").alias("popestimate2024"))
-    counties = s.select(F.lit("050").alias("sumlev"), text(F.col("s_nationkey") + 1).alias("state"), text("s_suppkey").alias("county"),
+                      F.lit("0").alias("county"), text(F.col("c_custkey") % 100000).alias("place"), bal("c_acctbal").alias("popestimate2024"))
+    counties = s.select(F.lit("050").alias("sumlev"), text(F.col("s_nationkey") + 1).alias("state"), text(F.col("s_suppkey") % 1000).alias("county"),
                         F.lit("0").alias("place"), F.when(F.col("s_suppkey") % 5 == 2, "X").otherwise(bal("s_acctbal")).alias("popestimate2024"))
     parts = du.raw_links(spark, sf).select(F.lit("157").alias("sumlev"), F.substring("place_geoid", 1, 2).alias("state"),
                                            F.substring("county_geoid", 3, 3).alias("county"), F.substring("place_geoid", 3, 5).alias("place"),
@@ -214,8 +220,8 @@ def b8c(spark, sf):
 
 
 @query("b8_pep_place_population", """
-SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey AS VARCHAR), 7, '0') AS geo_id, CAST(trunc(abs(c_acctbal)) AS BIGINT) AS population
-FROM customer JOIN states ON code = lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') WHERE c_mktsegment <> 'BUILDING'""")
+SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey % 100000 AS VARCHAR), 7, '0') AS geo_id, CAST(trunc(abs(c_acctbal)) AS BIGINT) AS population
+FROM cus1 JOIN states ON code = lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') WHERE c_mktsegment <> 'BUILDING'""")
 def b8p(spark, sf):
     return no.pep_population(pep(spark, sf), "place")
 
@@ -278,11 +284,11 @@ FIELDS = list(no.NORMALS)
 def stations(spark, sf):
     s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
     cells = [F.when((k + i) % 4 == 1, "-9999").otherwise(text(F.round(F.col("s_acctbal") / 100 + i, 2))).alias(c) for i, c in enumerate(FIELDS)]
-    return s.select(F.concat(F.lit("ST"), F.lpad(text(k), 6, "0")).alias("station"), text(F.round(35 + (k * 37 % 400) / 100, 2)).alias("latitude"),
+    return s.select(F.concat(F.lit("ST"), F.lpad(text(k), 12, "0")).alias("station"), text(F.round(35 + (k * 37 % 400) / 100, 2)).alias("latitude"),
                     F.when(k % 19 == 3, "-9999").otherwise(text(F.round(-90 + (k * 53 % 700) / 100, 2))).alias("longitude"), *cells)
 
 
-cte("b_sta", "SELECT 'ST' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS station_id, round(35 + (s_suppkey * 37 % 400) / 100.0, 2)::DOUBLE AS lat, "
+cte("b_sta", "SELECT 'ST' || lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS station_id, round(35 + (s_suppkey * 37 % 400) / 100.0, 2)::DOUBLE AS lat, "
     "round(-90 + (s_suppkey * 53 % 700) / 100.0, 2)::DOUBLE AS lon, x.i AS indicator_id, x.v AS value FROM supplier, (SELECT unnest([" + ", ".join(
         f"{{'i': '{i}', 'n': {n}}}" for n, i in enumerate(no.NORMALS.values())) + "]) AS y) q, LATERAL (SELECT {'i': y.i, "
     "'v': CASE WHEN (s_suppkey + y.n) % 4 <> 1 THEN round(s_acctbal / 100 + y.n, 2) END} AS x) WHERE s_suppkey % 19 <> 3 AND x.v IS NOT NULL AND x.v > -999")
@@ -294,14 +300,15 @@ def b14(spark, sf):
 
 
 def homes(spark, sf):
+    """One home for each five last digits of customers' numbers: the least number's."""
     k = F.col("c_custkey")
-    return table(spark, sf, "customer").select(F.lpad(text(k % 100000), 5, "0").alias("geo_id"), F.round(35 + (k * 29 % 400) / 100, 2).alias("lat"),
+    return table(spark, sf, "customer").groupBy(k % 100000).agg(F.min(k).alias("c_custkey")).select(F.lpad(text(k % 100000), 5, "0").alias("geo_id"), F.round(35 + (k * 29 % 400) / 100, 2).alias("lat"),
                                                F.round(-90 + (k * 41 % 700) / 100, 2).alias("lon"))
 
 
 cte("b_home", """
 SELECT lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS geo_id, round(35 + (c_custkey * 29 % 400) / 100.0, 2)::DOUBLE AS lat,
-  round(-90 + (c_custkey * 41 % 700) / 100.0, 2)::DOUBLE AS lon FROM customer""")
+  round(-90 + (c_custkey * 41 % 700) / 100.0, 2)::DOUBLE AS lon FROM (SELECT min(c_custkey) AS c_custkey FROM customer GROUP BY c_custkey % 100000)""")
 cte("b_near", f"""
 SELECT h.geo_id, s.indicator_id, s.value, {du.hav('h.lat', 'h.lon', 's.lat', 's.lon')} AS miles, s.station_id FROM b_home h, b_sta s
 WHERE {du.hav('h.lat', 'h.lon', 's.lat', 's.lon')} <= 75 QUALIFY row_number() OVER (PARTITION BY h.geo_id, s.indicator_id ORDER BY miles, s.station_id) <= 5""")
@@ -422,7 +429,7 @@ def b23(spark, sf):
     return emitted(spark, no.chr_measures(rankings(spark, sf)))
 
 
-@query("b24_available_measures", "\nUNION ALL ".join(f"SELECT '{m}' AS measure, count(*) FILTER ((s_suppkey + {i}) % 6 <> 1) AS n_values FROM supplier" for i, m in enumerate(no.MEASURES)))
+@query("b24_available_measures", "\nUNION ALL ".join(f"SELECT '{m}' AS measure, count(*) FILTER ((s_suppkey + {i}) % 6 <> 1) AS n_values FROM sup1" for i, m in enumerate(no.MEASURES)))
 def b24(spark, sf):
     raw = rankings(spark, sf)
     counts = raw.agg(*[F.count_if(F.col(f"`{m}`") != "").alias(m) for m in no.available_measures(raw)])
@@ -518,7 +525,7 @@ def b29_rejects(spark, sf):
 
 # ------------------------------------------------------------------------- B30-B33
 
-MONTHS = [f"{y}-{m:02d}-28" for y in (2000, 2001) for m in range(1, 13)][:18]
+MONTHS = [f"{1995 + m // 12}-{m % 12 + 1:02d}-28" for m in range(83)]
 
 
 def monthly(li, by, names):
@@ -554,10 +561,10 @@ def flows(spark, sf, side):
 
 cte("b_net", """
 SELECT coalesce(i.g, o.g) AS geo_id, CAST(coalesce(i.p, 0) - coalesce(o.p, 0) AS BIGINT) AS net_migration FROM
-  (SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey AS VARCHAR), 5, '0') AS g, sum(l_quantity) AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-   WHERE l_returnflag = 'A' AND l_linenumber = 1 AND s_suppkey % 5 <> 1 GROUP BY 1) i FULL JOIN
-  (SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey AS VARCHAR), 5, '0') AS g, sum(l_quantity) AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-   WHERE l_returnflag = 'R' AND l_linenumber = 1 AND s_suppkey % 7 <> 1 GROUP BY 1) o ON i.g = o.g""")
+  (SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS g, sum(l_quantity) AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+   WHERE l_returnflag = 'A' AND l_linenumber = 1 AND s_suppkey % 1000 % 5 <> 1 GROUP BY 1) i FULL JOIN
+  (SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS g, sum(l_quantity) AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+   WHERE l_returnflag = 'R' AND l_linenumber = 1 AND s_suppkey % 1000 % 7 <> 1 GROUP BY 1) o ON i.g = o.g""")
 
 
 @query("b32_migration_flows", "SELECT * FROM b_net")
@@ -582,14 +589,14 @@ def b33(spark, sf):
 def overlap(spark, sf):
     """Parts a customer ordered are the ZIPs its land overlaps."""
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
-    return j.select(F.lpad(text(F.col("l_partkey") % 99999), 5, "0").alias("geoid_zcta5_20"), F.lpad(text("o_custkey"), 9, "0").alias("geoid_place_20"),
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", (F.col("l_partkey") % 99999).alias("zip")).agg(F.sum("l_quantity").alias("q"))
+    return j.select(F.lpad(text("zip"), 5, "0").alias("geoid_zcta5_20"), F.lpad(text("o_custkey"), 9, "0").alias("geoid_place_20"),
                     text("q").alias("arealand_part"), text(2 * F.col("q") + 100).alias("arealand_place_20"))
 
 
 cte("b_over", """
 SELECT lpad(CAST(l_partkey % 99999 AS VARCHAR), 5, '0') AS zcta, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS place, sum(l_quantity) AS part, 2 * sum(l_quantity) + 100 AS place_land
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey, o_custkey""")
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey % 99999, o_custkey""")
 
 
 @query("b33_zip_place_overlap", "SELECT * FROM b_over")

@@ -2,6 +2,9 @@
 
 Roles: supplier is the coarse unit (county), customer the fine one (place), nation the state;
 order value is population and the sales between a customer and a supplier are their overlap.
+
+Keys have fixed widths, rows have not: suppliers of a nation whose numbers end in the same three digits are one county,
+customers of a nation whose numbers end in the same five digits one place. Measures add up; the least number names it.
 """
 
 from __future__ import annotations
@@ -28,19 +31,41 @@ def coords(df, key, a, b, bad):
     )
 
 
-def gaz_counties(spark, sf):
+def county_code(nation="s_nationkey", number="s_suppkey"):
+    return ((F.col(nation) + 1) * 1000 + F.col(number) % 1000).cast("string")
+
+
+def place_code(nation="c_nationkey", number="c_custkey"):
+    return ((F.col(nation) + 1) * 100000 + F.col(number) % 100000).cast("string")
+
+
+def county_rows(spark, sf):
+    """The supplier that names each county."""
     s = table(spark, sf, "supplier")
+    return s.groupBy("s_nationkey", (F.col("s_suppkey") % 1000).alias("code")).agg(
+        F.min_by(F.struct("s_suppkey", "s_name", "s_acctbal"), "s_suppkey").alias("first")).select("s_nationkey", "first.*")
+
+
+def place_rows(spark, sf):
+    """The customer that names each place."""
+    c = table(spark, sf, "customer")
+    return c.groupBy("c_nationkey", (F.col("c_custkey") % 100000).alias("code")).agg(
+        F.min_by(F.struct("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "c_custkey").alias("first")).select("c_nationkey", "first.*")
+
+
+def gaz_counties(spark, sf):
+    s = county_rows(spark, sf)
     return coords(s, "s_suppkey", 37, 53, 17).select(
-        ((F.col("s_nationkey") + 1) * 1000 + F.col("s_suppkey")).cast("string").alias("geoid"),
+        county_code().alias("geoid"),
         F.col("s_name").alias("name"), F.lit("").alias("usps"),
         F.abs("s_acctbal").cast("string").alias("aland_sqmi"), "intptlat", "intptlong",
     )
 
 
 def gaz_places(spark, sf):
-    c = table(spark, sf, "customer")
+    c = place_rows(spark, sf)
     return coords(c, "c_custkey", 29, 41, 13).select(
-        ((F.col("c_nationkey") + 1) * 100000 + F.col("c_custkey")).cast("string").alias("geoid"),
+        place_code().alias("geoid"),
         F.col("c_name").alias("name"), F.lit("").alias("usps"),
         F.when(F.col("c_mktsegment") == "BUILDING", " 57 ").otherwise("25").alias("lsad"),
         F.abs("c_acctbal").cast("string").alias("aland_sqmi"), "intptlat", "intptlong",
@@ -50,37 +75,29 @@ def gaz_places(spark, sf):
 def place_population(spark, sf):
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
     spend = o.groupBy("o_custkey").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
-    return c.join(spend, F.col("c_custkey") == F.col("o_custkey")).select(
-        F.lpad(((F.col("c_nationkey") + 1) * 100000 + F.col("c_custkey")).cast("string"), 7, "0").alias("geo_id"),
-        F.expr("cents div 50000").alias("population"),
-    )
+    return c.join(spend, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.lpad(place_code(), 7, "0").alias("geo_id")).agg(
+        F.sum("cents").alias("cents")).select("geo_id", F.expr("cents div 50000").alias("population"))
 
 
 def county_population(spark, sf):
     s, li = table(spark, sf, "supplier"), table(spark, sf, "lineitem")
     qty = li.groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
-    return s.join(qty, F.col("s_suppkey") == F.col("l_suppkey")).where(F.col("s_suppkey") % 9 != 5).select(
-        F.lpad(((F.col("s_nationkey") + 1) * 1000 + F.col("s_suppkey")).cast("string"), 5, "0").alias("geo_id"),
-        F.col("q").alias("population"),
-    )
+    counted = s.join(qty, F.col("s_suppkey") == F.col("l_suppkey")).where(F.col("s_suppkey") % 9 != 5)
+    return counted.groupBy(F.lpad(county_code(), 5, "0").alias("geo_id")).agg(F.sum("q").alias("population"))
 
 
 def raw_links(spark, sf):
     """Sales between a customer and the suppliers of its own nation."""
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    return (
+    sales = (
         li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(c, F.col("o_custkey") == F.col("c_custkey"))
         .join(s, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-        .groupBy("c_custkey", "c_nationkey", "c_mktsegment", "s_suppkey")
+        .groupBy(F.lpad(place_code(), 7, "0").alias("place_geoid"), F.lpad(county_code(), 5, "0").alias("county_geoid"))
         .agg(F.sum("l_quantity").alias("weight"))
-        .select(
-            F.lpad(((F.col("c_nationkey") + 1) * 100000 + F.col("c_custkey")).cast("string"), 7, "0").alias("place_geoid"),
-            F.lpad(((F.col("c_nationkey") + 1) * 1000 + F.col("s_suppkey")).cast("string"), 5, "0").alias("county_geoid"),
-            "weight", "c_mktsegment",
-        )
     )
+    return sales.join(place_rows(spark, sf).select(F.lpad(place_code(), 7, "0").alias("place_geoid"), "c_mktsegment"), "place_geoid")
 
 
 def combined_links(spark, sf):
@@ -111,32 +128,35 @@ def full_universe(spark, sf):
 
 STATE_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in keys.STATE_USPS.items())
 cte("states", f"SELECT * FROM (VALUES {STATE_VALUES}) AS t(code, usps)")
+cte("sup1", "SELECT * FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 1000 ORDER BY s_suppkey) = 1")
+cte("cus1", "SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey, c_custkey % 100000 ORDER BY c_custkey) = 1")
 cte("gaz_c", """
-SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey AS VARCHAR), 5, '0') AS geo_id, s_name AS name, s_suppkey AS k,
+SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS geo_id, s_name AS name, s_suppkey AS k,
   abs(s_acctbal) AS land_sqmi,
   CASE WHEN s_suppkey % 17 <> 16 THEN round(25 + (s_suppkey * 37 % 2400) / 100.0, 2)::DOUBLE END AS lat,
   CASE WHEN s_suppkey % 17 <> 16 THEN round(-124 + (s_suppkey * 53 % 5700) / 100.0, 2)::DOUBLE END AS lon
-FROM supplier""")
+FROM sup1""")
 cte("gaz_p", """
-SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey AS VARCHAR), 7, '0') AS geo_id, c_name AS name, c_custkey AS k,
+SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey % 100000 AS VARCHAR), 7, '0') AS geo_id, c_name AS name, c_custkey AS k,
   abs(c_acctbal) AS land_sqmi, c_mktsegment AS seg,
   CASE WHEN c_custkey % 13 <> 12 THEN round(25 + (c_custkey * 29 % 2400) / 100.0, 2)::DOUBLE END AS lat,
   CASE WHEN c_custkey % 13 <> 12 THEN round(-124 + (c_custkey * 41 % 5700) / 100.0, 2)::DOUBLE END AS lon
-FROM customer""")
+FROM cus1""")
 cte("pop_p", """
-SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey AS VARCHAR), 7, '0') AS geo_id,
+SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey % 100000 AS VARCHAR), 7, '0') AS geo_id,
   CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) // 50000 AS BIGINT) AS population
 FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 cte("pop_c", """
-SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey AS VARCHAR), 5, '0') AS geo_id,
+SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS geo_id,
   CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS population
 FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_suppkey % 9 <> 5 GROUP BY 1""")
-cte("raw_links", """
-SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey AS VARCHAR), 7, '0') AS place_geoid,
-  lpad(CAST((c_nationkey + 1) * 1000 + s_suppkey AS VARCHAR), 5, '0') AS county_geoid, c_mktsegment, sum(l_quantity) AS weight
+cte("pc_sales", """
+SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey % 100000 AS VARCHAR), 7, '0') AS place_geoid,
+  lpad(CAST((c_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS county_geoid, sum(l_quantity) AS weight
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey
-GROUP BY 1, 2, 3""")
+GROUP BY 1, 2""")
+cte("raw_links", "SELECT place_geoid, county_geoid, seg AS c_mktsegment, weight FROM pc_sales JOIN gaz_p ON geo_id = place_geoid")
 cte("both_links", """
 SELECT place_geoid, county_geoid, weight, 'measured' AS basis FROM raw_links WHERE c_mktsegment <> 'HOUSEHOLD'
 UNION ALL SELECT place_geoid, county_geoid, 0.0, 'even' FROM raw_links WHERE c_mktsegment = 'HOUSEHOLD'""")
@@ -186,9 +206,9 @@ FROM disp WHERE disposition LIKE 'kept%'""")
 
 
 @query("a1_norm_key", """
-SELECT c_custkey, CASE WHEN c_custkey % 5 = 3 THEN NULL WHEN c_custkey % 5 = 4 THEN NULL
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 3 THEN NULL WHEN c_custkey % 5 = 4 OR c_custkey > 9999999 THEN NULL
   ELSE lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS place_key,
-  CASE WHEN c_custkey % 5 = 3 THEN 'not numeric' WHEN c_custkey % 5 = 4 THEN 'longer than 7 digits' END AS fault
+  CASE WHEN c_custkey % 5 = 3 THEN 'not numeric' WHEN c_custkey % 5 = 4 OR c_custkey > 9999999 THEN 'longer than 7 digits' END AS fault
 FROM customer""")
 def a1(spark, sf):
     k = F.col("c_custkey").cast("string")
@@ -244,7 +264,7 @@ def a6(spark, sf):
 
 
 cte("named", """
-SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey AS VARCHAR), 7, '0') AS place_geoid, r_name AS usps,
+SELECT lpad(CAST((c_nationkey + 1) * 100000 + c_custkey % 100000 AS VARCHAR), 7, '0') AS place_geoid, r_name AS usps,
   unnest(['NATION_' || c_nationkey, 'nation_' || (c_custkey % 40)]) AS name
 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
 cte("name_hits", """
@@ -260,7 +280,7 @@ def _name_hits(spark, sf):
     listed = F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"), F.lit("~~~ nation_"),
                       (F.col("c_custkey") % 40).cast("string"), F.lit("~~~ "))
     places = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.lpad(((F.col("c_nationkey") + 1) * 100000 + F.col("c_custkey")).cast("string"), 7, "0").alias("place_geoid"),
+        F.lpad(place_code(), 7, "0").alias("place_geoid"),
         F.col("r_name").alias("state_usps"), listed.alias("counties"))
     return uni.name_index_join(places, index)
 
@@ -319,8 +339,8 @@ def a11(spark, sf):
 
 @query("a12_population_centroids", "SELECT geo_id, lat, lon FROM gaz_c WHERE lat IS NOT NULL")
 def a12(spark, sf):
-    raw = coords(table(spark, sf, "supplier"), "s_suppkey", 37, 53, 17).select(
-        (F.col("s_nationkey") + 1).cast("string").alias("STATEFP"), F.col("s_suppkey").cast("string").alias("COUNTYFP"),
+    raw = coords(county_rows(spark, sf), "s_suppkey", 37, 53, 17).select(
+        (F.col("s_nationkey") + 1).cast("string").alias("STATEFP"), (F.col("s_suppkey") % 1000).cast("string").alias("COUNTYFP"),
         F.col("intptlat").alias(" LATITUDE"), F.col("intptlong").alias("LONGITUDE "))
     return readers.population_centroids(readers.tidy(raw))
 
@@ -329,11 +349,11 @@ def a12(spark, sf):
 SELECT geo_id, CAST(10000 + k % 7 AS VARCHAR) AS metro, 'Metro ' || (k % 7) || ', XX' AS title
 FROM gaz_c JOIN states ON code = substr(geo_id, 1, 2)""")
 def a13(spark, sf):
-    s = table(spark, sf, "supplier")
+    s = county_rows(spark, sf)
     body = s.select(
         (F.col("s_suppkey") + 10).alias("line_no"),
         F.format_string('%d,"Metro %d, XX",%d,%d', F.col("s_suppkey") % 7 + 10000, F.col("s_suppkey") % 7,
-                        F.col("s_nationkey") + 1, F.col("s_suppkey")).alias("value"))
+                        F.col("s_nationkey") + 1, F.col("s_suppkey") % 1000).alias("value"))
     # Title rows and the header sit above the data, as in the published list.
     head = table(spark, sf, "region").where("r_regionkey = 0").select(F.posexplode(F.array(
         F.lit("List 1. Metropolitan areas"), F.lit(""), F.lit("CBSA Code,CBSA Title,FIPS State Code,FIPS County Code")
