@@ -6,14 +6,14 @@ Documents whose sets of word shingles link when their Jaccard similarity reaches
 2. A set is described by signature tokens (shingles.signatures): whole parts of its token space. Two linked sets
    share at least a known number of signatures, so a pair below that number need not be looked at. Signatures that
    occur once leave at once.
-3. Similar documents are partitioned into groups: each is compared with the documents that lead its signatures and
-   with which it shares most, and what links makes a group. Groups hold GROUP_SIZE documents at most; larger
+3. Similar documents are partitioned into groups: each is compared with those leaders of its signatures with which
+   it shares most, and what links makes a group. Groups hold GROUP_SIZE documents at most; larger
    ones are cut.
 4. The token-group matrix has a row per signature and group: the group's token union. Every document is a query
    against the groups of other components. The query-group overlap is counted on the matrix, and only groups where
    it reaches the bound are opened: their documents are compared with the query exactly, on whole shingle sets.
-   A signature that occurs in more than COMMON groups counts only between documents that consist of such
-   signatures so far that the bound could be met without any other; for all others it cannot be the only one.
+   A signature that occurs in more than COMMON components counts only between documents that hold so many of them
+   that the bound could be met without any other; for a document that holds fewer, the bound falls by their number.
 5. All links go into the components.
 
 Nothing is lost at any step. Lists of ids are broadcast only when counted below SMALL_IDS; else they are joined.
@@ -38,6 +38,10 @@ from geofit.llm.shingles import Similar, rounds, set_keys, shingle_sets, signatu
 
 GROUP_SIZE = 64
 COMMON = 12
+#: Documents of a signature that one leader is tried by, ways to choose the leaders, and leaders tried by a document.
+CELL = 8
+LEADERS = 6
+TRIES = 10
 SMALL_IDS = 4_000_000
 
 
@@ -116,6 +120,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
     return both.where(near).where(enough).select("a", "b")
 
 
+def _leaders(shared: DataFrame) -> DataFrame:
+    """rid, need, lead of each signature, for each of LEADERS ways to deal its documents to cells of about CELL. A cell is
+    led by its first document in an order common to all signatures, so that similar documents meet it in several."""
+    ways = shared.withColumn("way", F.explode(F.sequence(F.lit(1), F.lit(LEADERS))))
+    ways = ways.withColumn("place", F.shiftrightunsigned(F.xxhash64("rid", "way"), 1))
+    bits = F.greatest(F.ceil(F.log2(F.col("held") / CELL)), F.lit(0)).cast("int")
+    ways = ways.withColumn("cell", F.floor(F.col("place") / F.pow(F.lit(2.0), 63 - bits)))
+    w = Window.partitionBy("sign", "way", "cell")
+    return ways.withColumn("lead", F.min(F.struct("place", "rid")).over(w)["rid"]).select("rid", "need", "lead")
+
+
 def _links(texts: DataFrame, classes: DataFrame, k: int, similar: Similar) -> DataFrame:
     """Links (a, b) between class representatives that join all linked classes into their components."""
     def signs(rids, tokens, at):
@@ -127,7 +142,7 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, similar: Similar) -> Da
 
     signed = _sets(texts, k, [("rid", pa.int64()), ("sign", pa.int64()), ("need", pa.int32())], "rid long, sign long, need int", signs)
     w = Window.partitionBy("sign")
-    shared = signed.withColumn("first", F.min("rid").over(w)).withColumn("last", F.max("rid").over(w)).where("first <> last")
+    shared = signed.withColumn("first", F.min("rid").over(w)).withColumn("last", F.max("rid").over(w)).withColumn("held", F.count("rid").over(w)).where("first <> last")
     shared = staged(shared, "signatures")
     # A document that shares too few signatures with all others together has no partner.
     able = shared.groupBy("rid", "need").agg(F.count("sign").alias("n")).where("n >= need").select("rid").distinct()
@@ -136,10 +151,10 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, similar: Similar) -> Da
     sets = staged(_sets(by_ids(texts, able, "left_semi"), k, [("rid", pa.int64()), ("tokens", pa.list_(pa.int64()))], "rid long, tokens array<long>", whole), "candidate-sets")
 
     # Groups of similar documents: each with the leaders it shares most signatures with.
-    led = shared.select("rid", "need", F.explode(F.array("first", "last")).alias("lead")).where("rid <> lead")
-    tried = led.groupBy("rid", "lead", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need")
-    best = tried.groupBy("rid").agg(F.max_by("lead", F.struct("n", "lead")).alias("x"), F.max_by("lead", F.struct("n", -F.col("lead"))).alias("y"), F.min("lead").alias("z"))
-    pairs = best.select(F.col("rid").alias("a"), F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("b"))
+    led = shared.select("rid", "need", F.explode(F.array("first", "last")).alias("lead")).unionByName(_leaders(shared)).where("rid <> lead")
+    tried = led.groupBy("rid", "lead").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need")
+    best = tried.groupBy("rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "lead")), False), 1, TRIES).alias("best"))
+    pairs = best.select(F.col("rid").alias("a"), F.explode("best.lead").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first_links = staged(_linked(pairs, sets, similar), "jaccard-links")
     found = components(first_links)
     groups = able.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
@@ -152,11 +167,14 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, similar: Similar) -> Da
     spread = matrix.select("sign", "component").distinct().groupBy("sign").agg(F.count(F.lit(1)).alias("n_components")).where("n_components > 1")
     rows = staged(rows.join(spread, "sign"), "open-signatures")
     common = F.col("n_components") > COMMON
-    dense = rows.where(common).groupBy("rid", "need").agg(F.count("sign").alias("n")).where("n >= need").select("rid", "need", F.lit(True).alias("dense"))
-    rows = staged(rows.join(dense, ["rid", "need"], "left").where(~common | F.col("dense")), "queries")
-    matrix = staged(rows.groupBy("sign", "component", "grp", "need").agg(F.count(F.lit(1)).alias("held")).drop("held"), "token-group-matrix")
-    met = rows.select("sign", "rid", F.col("component").alias("own"), "need").join(matrix.drop("need"), "sign").where("component < own")
-    opened = met.groupBy("rid", "grp", "need").agg(F.count("sign").alias("n")).where("n >= need").select("rid", "grp").distinct()
+    own_common = rows.groupBy("rid", "need").agg(F.count_if(common).alias("n_common"))
+    rows = rows.join(own_common, ["rid", "need"]).where(~common | (F.col("n_common") >= F.col("need")))
+    # What a linked pair shares at least of the rows that are left: a document without its common signatures misses those.
+    rows = rows.withColumn("ask", F.when(F.col("n_common") >= F.col("need"), F.col("need")).otherwise(F.col("need") - F.col("n_common")))
+    rows = staged(rows.withColumn("grp_ask", F.min("ask").over(Window.partitionBy("grp", "need"))), "queries")
+    matrix = staged(rows.groupBy("sign", "component", "grp", "need").agg(F.min("grp_ask").alias("grp_ask")), "token-group-matrix")
+    met = rows.select("sign", "rid", F.col("component").alias("own"), "need", "ask").join(matrix.select("sign", "component", "grp", F.col("need").alias("grp_need"), "grp_ask"), "sign").where("component < own and need = grp_need")
+    opened = met.groupBy("rid", "grp", "need").agg(F.count("sign").alias("n"), F.min(F.least("ask", "grp_ask")).alias("least")).where("n >= least").select("rid", "grp").distinct()
     inside = groups.select(F.col("rid").alias("b"), "grp")
     more = _linked(opened.withColumnRenamed("rid", "a").join(inside, "grp").select("a", "b").distinct(), sets, similar)
     return first_links.unionByName(more)

@@ -195,6 +195,31 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch):
     assert jaccard_join.link(frame(spark, [])).count() == 0
 
 
+def test_links_through_rare_and_common_signatures_together(spark, monkeypatch):
+    """Texts of one template, most pairs of them just too far apart: their signatures are common to many components."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    docs = {}
+    for i in range(150):
+        own = list(docs[rng.randrange(i)]) if i and rng.random() < 0.5 else list(base)
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10_000)}"
+        docs[i] = own
+    sets = {i: {tuple(w[j: j + 3]) for j in range(len(w) - 2)} for i, w in docs.items()}
+    parent = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]):
+                a, b = find(parent, i), find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    want = {i: find(parent, i) for i in sets}
+    for common, tries in ((2, 10), (2, 1), (12, 1)):
+        monkeypatch.setattr(jaccard_join, "COMMON", common)
+        monkeypatch.setattr(jaccard_join, "TRIES", tries)
+        rows = jaccard_join.link(frame(spark, [(i, " ".join(w)) for i, w in docs.items()]), 3, 9, 10).collect()
+        assert {r.doc_id: r.component_id for r in rows} == want
+
+
 def test_language_profiles_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", langid.held_out())
     found = langid.identify(docs, langid.learn(docs.where("not held_out"))).where("held_out")
