@@ -103,6 +103,15 @@ def _tag(df: DataFrame, tag: str) -> DataFrame:
     return df.withColumn("profile_id", F.concat("profile_id", F.lit("|" + tag)))
 
 
+def _untagged() -> Column:
+    """The profile's own id, which may hold the mark itself: only the last one was put there."""
+    return F.regexp_replace("profile_id", r"\|(on|off)$", "")
+
+
+def _side() -> Column:
+    return F.substring_index("profile_id", "|", -1)
+
+
 def with_and_without(profiles: Profiles, domains: list[str]) -> Profiles:
     """Each profile twice: as it is (|on), and without the domains' weight and opt-ins (|off)."""
     both = lambda df: _tag(df, "on").unionByName(_tag(df, "off"))
@@ -113,8 +122,8 @@ def with_and_without(profiles: Profiles, domains: list[str]) -> Profiles:
 
 def rank_delta(ranked: DataFrame) -> DataFrame:
     """rank_on, rank_off and the change (positive: helped by the layer) per profile and place."""
-    side = lambda tag: ranked.where(F.col("profile_id").endswith("|" + tag)).select(
-        F.split("profile_id", r"\|")[0].alias("profile_id"), "geo_id",
+    side = lambda tag: ranked.where(_side() == tag).select(
+        _untagged().alias("profile_id"), "geo_id",
         F.col("rank").alias(f"rank_{tag}"), F.col("score").alias(f"score_{tag}"))
     return side("on").join(side("off"), ["profile_id", "geo_id"]).withColumn("rank_change", F.col("rank_off") - F.col("rank_on"))
 
@@ -127,7 +136,7 @@ def layer_ranks(features: DataFrame, registry: DataFrame, profiles: Profiles, do
 def top_changes(ranked: DataFrame, top: int = 25) -> DataFrame:
     """Places that entered or left the top when the layer was switched on."""
     head = ranked.where(F.col("rank") <= top).select(
-        F.split("profile_id", r"\|")[0].alias("profile_id"), F.split("profile_id", r"\|")[1].alias("side"), "geo_id")
+        _untagged().alias("profile_id"), _side().alias("side"), "geo_id")
     on, off = (head.where(F.col("side") == s).drop("side") for s in ("on", "off"))
     key = ["profile_id", "geo_id"]
     return on.join(off, key, "left_anti").withColumn("change", F.lit("entered")).unionByName(

@@ -185,7 +185,7 @@ SELECT 'p2' AS profile_id, indicator_id, geo_id, round(value, 6) AS value, round
 WHERE CASE WHEN 0.33 <= med THEN value > med ELSE value < med END QUALIFY row_number() OVER (ORDER BY score DESC, geo_id) <= 12""")
 def f8(spark, sf):
     f, reg, p = base.place_features(spark, sf), base.registry(spark), base.profiles(spark)
-    off = sc.score(f, reg, dg.with_and_without(p, ["politics"])).where("endswith(profile_id, '|off')").withColumn("profile_id", F.split("profile_id", r"\|")[0])
+    off = sc.score(f, reg, dg.with_and_without(p, ["politics"])).where("endswith(profile_id, '|off')").withColumn("profile_id", F.regexp_replace("profile_id", r"\|off$", ""))
     return r6(dg.counter_axis(f, reg, p, cut(off)), "value", "score")
 
 

@@ -518,7 +518,7 @@ SELECT 'districts_without_county' AS reason, count(*) AS n FROM customer WHERE c
 UNION ALL SELECT 'ratios_dropped_unrepresentative', count(*) FROM b_enr WHERE teachers > 0 AND covered > 0 AND enrolled > 0 AND covered < 0.5 * enrolled
 UNION ALL SELECT 'counties_without_a_district', count(*) FROM b_enr WHERE districts = 0
 UNION ALL SELECT 'spend_markers_rejected', count(*) FROM orders WHERE o_orderkey % 8 = 1 AND o_custkey IN (SELECT leaid FROM b_dist)
-UNION ALL SELECT 'grad_bins_too_wide', count(*) FROM orders WHERE o_orderkey % 26 > 20 AND o_custkey IN (SELECT leaid FROM b_dist)""")
+UNION ALL SELECT 'grad_bins_too_wide', count(*) FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 90 - 2 > 0 AND o_orderkey % 26 > 20 AND o_custkey IN (SELECT leaid FROM b_dist)""")
 def b29_rejects(spark, sf):
     return no.education_rejects(directory(spark, sf), finance(spark, sf), grads(spark, sf))
 

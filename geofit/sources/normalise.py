@@ -5,6 +5,8 @@ The records go through contracts.emit_long. A missing value is a null row, never
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -503,6 +505,11 @@ def county_enrolment(districts: DataFrame) -> DataFrame:
     )
 
 
+def _everyone() -> Column:
+    """Rows of graduation rates that speak for all students."""
+    return reduce(lambda a, b: a & b, [F.col(axis).try_cast("int") == 99 for axis in ALL_STUDENTS])
+
+
 def education_rollup(directory: DataFrame, finance: DataFrame, grads: DataFrame) -> DataFrame:
     """Districts to counties: staffing ratio, district count, spending per pupil, graduation.
 
@@ -525,13 +532,9 @@ def education_rollup(directory: DataFrame, finance: DataFrame, grads: DataFrame)
         .join(where_is, "leaid")
         .groupBy(F.col("county").alias("geo_id")).agg((F.sum("spend") / F.sum("pupils")).alias("value"))
     )
-    everyone = None
-    for axis in ALL_STUDENTS:
-        is_all = F.col(axis).try_cast("int") == 99
-        everyone = is_all if everyone is None else everyone & is_all
     width = num("grad_rate_high") - num("grad_rate_low")
     rates = (
-        grads.where(everyone)
+        grads.where(_everyone())
         .where(F.coalesce(width, F.lit(0.0)) <= MAX_BIN_WIDTH)
         .select(F.trim("leaid").alias("leaid"), _count("grad_rate_midpt").alias("rate"), _count("cohort_num").alias("cohort"))
         .where(F.col("rate").isNotNull() & (F.col("cohort") > 0))
@@ -568,7 +571,8 @@ def education_rejects(directory: DataFrame, finance: DataFrame, grads: DataFrame
     spend_markers = finance.join(mapped, "leaid", "left_semi").agg(
         F.count_if(num("exp_current_elsec_total") < 0).alias("n")
     ).select(F.lit("spend_markers_rejected").alias("reason"), "n")
-    wide = grads.join(mapped, "leaid", "left_semi").agg(
+    usable = _count("grad_rate_midpt").isNotNull() & (_count("cohort_num") > 0)
+    wide = grads.where(_everyone() & usable).join(mapped, "leaid", "left_semi").agg(
         F.count_if(num("grad_rate_high") - num("grad_rate_low") > MAX_BIN_WIDTH).alias("n")
     ).select(F.lit("grad_bins_too_wide").alias("reason"), "n")
     return no_county.unionByName(thin).unionByName(spend_markers).unionByName(wide)
