@@ -17,9 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
-#: Parent domains and path segments of a URL that are looked up.
-MOST_LABELS = 8
-MOST_SEGMENTS = 4
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -29,16 +26,14 @@ def host_of(url: Column) -> Column:
 
 
 def patterns_of(url: Column) -> Column:
-    """The patterns that would cover a URL: domains of two labels or more, and `host/segment/...` prefixes."""
+    """All patterns that would cover a URL: domains of two labels or more, and `host/segment/...` prefixes, however many."""
     labels = F.split(host_of(url), r"\.")
     size = F.size(labels)
-    tails = F.transform(F.sequence(F.lit(2), F.lit(MOST_LABELS)), lambda n: F.when(n <= size, F.array_join(F.slice(labels, F.greatest(size - n + 1, F.lit(1)), n), ".")))
+    upto = lambda first, last: F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
+    tails = F.transform(upto(2, size), lambda n: F.array_join(F.slice(labels, size - n + 1, n), "."))
     segments = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
-    heads = F.transform(
-        F.sequence(F.lit(1), F.lit(MOST_SEGMENTS)),
-        lambda n: F.when(n <= F.size(segments), F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(segments, 1, n), "/"))),
-    )
-    return F.when(host_of(url) != "", F.array_distinct(F.filter(F.concat(tails, heads), lambda p: p.isNotNull())))
+    heads = F.transform(upto(1, F.size(segments)), lambda n: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(segments, 1, n), "/")))
+    return F.when(host_of(url) != "", F.array_distinct(F.concat(tails, heads)))
 
 
 def intervals(entries: DataFrame) -> DataFrame:

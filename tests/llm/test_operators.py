@@ -257,3 +257,11 @@ def test_url_lists_hold_from_day_to_day(spark):
     got = {r.page_id: r.active for r in url_filter.apply_lists(captures, entries).collect()}
     assert got == {1: ["l:bad.org"], 2: [], 3: [], 4: ["m:a.com/x"], 5: [], 6: [], 7: []}
     assert url_filter.apply_lists(captures, entries.limit(0)).where("size(active) > 0").count() == 0
+
+
+def test_url_lists_reach_deep_paths_and_long_hosts(spark):
+    deep, long_host = "h.com/" + "/".join("abcdefgh"), ".".join("abcdefghijkl") + ".org"
+    entries = spark.createDataFrame([("l", p, "2024-01-01", True) for p in (deep, long_host)], "list string, pattern string, day string, added boolean").withColumn("day", F.to_date("day"))
+    urls = [f"http://{deep}/i", f"http://x.{long_host}/p", "http://h.com/a/b/c/d/e", "http://b." + long_host.split(".", 2)[2]]
+    captures = spark.createDataFrame([(i, u, "2024-05-05") for i, u in enumerate(urls)], "page_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched"))
+    assert {r.page_id: r.active for r in url_filter.apply_lists(captures, entries).collect()} == {0: [f"l:{deep}"], 1: [f"l:{long_host}"], 2: [], 3: []}
