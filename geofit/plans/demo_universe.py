@@ -4,7 +4,8 @@ Roles: supplier is the coarse unit (county), customer the fine one (place), nati
 order value is population and the sales between a customer and a supplier are their overlap.
 
 Keys have fixed widths, rows have not: suppliers of a nation whose numbers end in the same three digits are one county,
-customers of a nation whose numbers end in the same five digits one place. Measures add up; the least number names it.
+customers of a nation whose numbers end in the same five digits one place. Populations, sales and line sums add up. The
+least number gives the name, the coordinates and what its own row holds; the other rows' balances are left out, as in the SQL.
 """
 
 from __future__ import annotations
