@@ -14,8 +14,8 @@ from geofit.llm.common import staged, table
 
 #: A document whose distance to the nearest profile is nearly the greatest is in none of the languages.
 LEAST_SCORE = 0.1
-#: Some 35 words: any passage of over 50 words that repeats is longer.
-PASSAGE_BYTES = 200
+#: Passages of over 50 words are cut out where they repeat, however many bytes they have.
+PASSAGE_WORDS = 51
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur more than once in what is left are cut out wherever they stand."""
-    return suffix_dedup.strip(docs, PASSAGE_BYTES)
+    """Passages of over 50 words that occur more than once in what is left are cut out wherever they stand."""
+    return suffix_dedup.strip_passages(docs, PASSAGE_WORDS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

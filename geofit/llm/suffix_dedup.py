@@ -27,6 +27,7 @@ a null doc_id is kept. Other columns are carried by `cut` only when asked for.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,11 @@ SPAN_BLOCK = 1 << 15
 #: Bytes of spans that a task sorts into one set of runs.
 RUN_BYTES = 8 << 20
 SMALL_ROWS = 2_000_000
+#: A word: what stands between white space; Han characters and kana, written without it, are a word each.
+_SINGLE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"[{_SINGLE}]|[^\\s{_SINGLE}]+")
+#: Passages of words in one batch of a task.
+PASSAGES_A_BATCH = 50_000
 
 
 def _least(h: np.ndarray, w: int, pick: np.ufunc) -> np.ndarray:
@@ -340,11 +346,63 @@ def _without(raw: bytes, gone: list[list[int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends, in bytes."""
+    at = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
+    if not text.isascii():
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        at = np.concatenate([[0], np.cumsum(sizes)])[at]
+    return at[:, 0], at[:, 1]
+
+
+def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
+    """rid, ranges: sorted arrays of the byte ranges [from, to) of every passage of `words` words that stands at two
+    places at least, of texts (rid, text). Ranges may touch or overlap.
+
+    Such a passage has 2 * words - 1 bytes or more, so it lies in a united range of repeated strings of that length. The
+    range can be made of several repeats, so its passages are counted by themselves, by a digest of their bytes.
+    """
+    ranges = repeated_ranges(texts, 2 * words - 1)
+    schema = pa.schema([("rid", pa.int64()), ("passage", pa.binary()), ("from", pa.int64()), ("to", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, ...] = [], [], [], []
+        for batch in batches:
+            for rid, text, found in zip(*[batch.column(c).to_pylist() for c in ("rid", "text", "ranges")]):
+                raw, (starts, ends) = text.encode("utf-8"), word_places(text)
+                for a, b in _union(found):
+                    first, last = np.searchsorted(starts, a), np.searchsorted(ends, b, side="right")
+                    for x, y in zip(starts[first: last - words + 1].tolist(), ends[first + words - 1: last].tolist()) if last - first >= words else ():
+                        for column, value in zip(out, (rid, hashlib.blake2b(raw[x:y], digest_size=16).digest(), x, y)):
+                            column.append(value)
+                if len(out[0]) >= PASSAGES_A_BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+                    out = [], [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+
+    held = texts.join(_small(ranges), "rid").select("rid", "text", "ranges")
+    passages = staged(map_arrow(held, run, "rid long, passage binary, from long, to long"), "passages")
+    twice = staged(passages.groupBy("passage").agg(F.count("rid").alias("n")).where("n > 1").select("passage"), "repeated-passages")
+    found = passages.join(_small(twice), "passage", "left_semi")
+    return staged(found.groupBy("rid").agg(F.array_sort(F.collect_list(F.array("from", "to"))).alias("ranges")), "passage-ranges")
+
+
 def strip(docs: DataFrame, length: int) -> DataFrame:
+    """docs without the repeated strings of `length` bytes, as by `_strip`."""
+    return _strip(docs, lambda texts: repeated_ranges(texts, length))
+
+
+def strip_passages(docs: DataFrame, words: int) -> DataFrame:
+    """docs without the repeated passages of `words` words, as by `_strip`."""
+    return _strip(docs, lambda texts: repeated_passages(texts, words))
+
+
+def _strip(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """docs with text replaced by what is left of it, and n_chars by its length where there is such a column. A
     character of which a byte is removed goes whole; null text stays null."""
     numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    ranges = repeated_ranges(numbered.select(F.col("__rid").alias("rid"), F.col("text").cast("string").alias("text")), length)
+    ranges = find(numbered.select(F.col("__rid").alias("rid"), F.col("text").cast("string").alias("text")))
     joined = numbered.join(_small(ranges.select(F.col("rid").alias("__rid"), F.col("ranges").alias("__ranges"))), "__rid", "left").drop("__rid")
     names, at, found = docs.columns, docs.columns.index("text"), len(docs.columns)
     out = StructType([StructField(f.name, StringType() if f.name == "text" else LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema.fields])
@@ -361,4 +419,4 @@ def strip(docs: DataFrame, length: int) -> DataFrame:
     return map_arrow(joined, run, out)
 
 
-__all__ = ["common_prefix", "cut", "repeated_ranges", "spans", "strip"]
+__all__ = ["common_prefix", "cut", "repeated_passages", "repeated_ranges", "spans", "strip", "strip_passages"]

@@ -29,3 +29,16 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(passage not in (r.text or "") for r in seen["repeated_passages"].values()) and seen["repeated_passages"][10_002].text == clean[10_002]
     assert 20_004 not in seen["benchmark_free"] and set(clean) <= set(seen["benchmark_free"])
     assert set(seen["packed"]) == set(seen["benchmark_free"])
+
+
+def test_passages_are_cut_by_their_words(spark):
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    text = lambda words, n: " ".join(word(n) for _ in range(words))
+    short, accents, below, left, right = text(51, 1), " ".join("é" + word(1) for _ in range(60)), text(50, 8), text(40, 6), text(40, 6)
+    texts = [f"{text(20, 6)} {p} {text(20, 6)}" for p in (short, accents, below) for _ in range(2)]
+    texts += [f"{text(20, 6)} {left} {right} {text(20, 6)}", f"{text(20, 6)} {left} {text(20, 6)}", f"{text(20, 6)} {right} {text(20, 6)}", None]
+    docs = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in enumerate(texts)], spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema)
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert [got[i] for i in range(4)] == [t.replace(p, "") for t, p in zip(texts, (short, short, accents, accents))]
+    assert [got[i] for i in range(4, len(texts))] == texts[4:]
