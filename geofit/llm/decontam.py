@@ -9,7 +9,8 @@ The patterns are broadcast. They come from the benchmark table, whose size is ch
 is cut into blocks below the bound, and the documents are read once for each block.
 
 Null and empty texts have no words and hit nothing. Repeated items keep their own ids; repeated documents are
-judged each. An empty benchmark leaves every document clean. Other columns are not carried.
+judged each. An item with null id counts like any other, so that its words hit, but it adds no id to `hits`. An empty
+benchmark leaves every document clean. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -48,13 +49,13 @@ def windows(words: list[bytes], size: int = WINDOW_WORDS) -> list[tuple[bytes, .
 class Automaton:
     """Windows of the items; finds all of them in normalised text."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW_WORDS):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW_WORDS):
         import ahocorasick
 
         owners: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in items:
             for w in windows(words_of(text), size):
-                owners.setdefault(w, set()).add(item)
+                owners.setdefault(w, set()).update(() if item is None else (item,))
         self.owners = [sorted(v) for v in owners.values()]
         self.machine = ahocorasick.Automaton()
         for i, w in enumerate(owners):  # a space on either side keeps matches on whole words
@@ -71,7 +72,7 @@ class Automaton:
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """doc_id, n_words, hits (array of item ids), n_hit, spans (array of [from, to) in characters of the original
     text: the maximal runs of hit words, from the first's start to the last's end) and row (the row's place in docs)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     # Blocks of items by running size of text; the sizes are summed in Spark, and a block is read when it is used.
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) * 2 // automaton_bytes)) if total > automaton_bytes else 1
@@ -80,7 +81,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, automa
         return _scan(docs, [tuple(r) for r in items.collect()], size).drop("word_runs")
     parts = []
     for k in range(n_blocks):
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()]
+        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()]
         parts.append(staged(_scan(docs, own, size), "scan"))
     out = parts[0]
     for more in parts[1:]:
@@ -97,7 +98,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, automa
     return merged.select("doc_id", "n_words", "hits", united.n.alias("n_hit"), F.array_sort("spans").alias("spans"), "row")
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str | None]], size: int) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[str | None, str | None]], size: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.string())), ("n_hit", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64())))]
     fields += [("row", pa.int64()), ("word_runs", pa.list_(pa.list_(pa.int64())))]

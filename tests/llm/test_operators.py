@@ -265,3 +265,13 @@ def test_url_lists_reach_deep_paths_and_long_hosts(spark):
     urls = [f"http://{deep}/i", f"http://x.{long_host}/p", "http://h.com/a/b/c/d/e", "http://b." + long_host.split(".", 2)[2]]
     captures = spark.createDataFrame([(i, u, "2024-05-05") for i, u in enumerate(urls)], "page_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched"))
     assert {r.page_id: r.active for r in url_filter.apply_lists(captures, entries).collect()} == {0: [f"l:{deep}"], 1: [f"l:{long_host}"], 2: [], 3: []}
+
+
+def test_benchmark_items_without_id_still_contaminate(spark):
+    texts = ["alpha beta gamma", "delta epsilon", "zeta eta theta"]
+    bench = spark.createDataFrame([(None, texts[0]), (None, texts[1]), ("z", texts[2]), (None, None)], "item_id string, text string")
+    docs = frame(spark, [(i, f"x {t} y") for i, t in enumerate([*texts, "clean words"])])
+    for most in (decontam.AUTOMATON_BYTES, 20):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontam.digest(decontam.scan(docs, bench, automaton_bytes=most)).collect()}
+        assert got == {0: (3, 0, True), 1: (2, 0, True), 2: (3, 1, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [3]
