@@ -58,13 +58,12 @@ def c9(spark, sf):
 
 # ------------------------------------------------------------------------- F1-F5
 
-PRICE_MONTHS = src.MONTHS
-
-
 def price_months(spark, sf):
+    lines = src.lines(spark, sf)
+    months = src.months_of(lines)
     month = F.concat(F.date_format("l_shipdate", "yyyy-MM"), F.lit("-28"))
-    cells = [F.coalesce(src.text(F.sum(F.when(month == m, F.col("l_quantity")))), F.lit("")).alias(m) for m in PRICE_MONTHS]
-    return src.lines(spark, sf).groupBy("st", "co").agg(*cells).toDF("statecodefips", "municipalcodefips", *PRICE_MONTHS)
+    cells = [F.coalesce(src.text(F.sum(F.when(month == m, F.col("l_quantity")))), F.lit("")).alias(m) for m in months]
+    return lines.groupBy("st", "co").agg(*cells).toDF("statecodefips", "municipalcodefips", *months)
 
 
 cte("f_app", """

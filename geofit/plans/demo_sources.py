@@ -528,11 +528,22 @@ def b29_rejects(spark, sf):
 MONTHS = [f"{1995 + m // 12}-{m % 12 + 1:02d}-28" for m in range(83)]
 
 
+def months_of(li):
+    """The 28th of each month from the first to the last shipping date of the data; without any, MONTHS as in the SQL."""
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    first, last = li.agg(F.min(month), F.max(month)).first()
+    if first is None:
+        return MONTHS
+    a, b = (int(m[:4]) * 12 + int(m[5:]) - 1 for m in (first, last))
+    return [f"{m // 12}-{m % 12 + 1:02d}-28" for m in range(a, b + 1)]
+
+
 def monthly(li, by, names):
-    """Returned lines per key and month as a wide text table, one column per month."""
+    """Returned lines per key and month as a wide text table, one column per month of the data."""
+    months = months_of(li)
     month = F.concat(F.date_format("l_shipdate", "yyyy-MM"), F.lit("-28"))
     cell = lambda m: F.max(F.when((month == m) & (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 44), F.col("l_extendedprice")))
-    return li.groupBy(*by).agg(*[F.coalesce(text(cell(m)), F.lit("")).alias(m) for m in MONTHS]).toDF(*names, *MONTHS)
+    return li.groupBy(*by).agg(*[F.coalesce(text(cell(m)), F.lit("")).alias(m) for m in months]).toDF(*names, *months)
 
 
 def latest_sql(months):

@@ -38,3 +38,14 @@ def test_numbers_with_equal_endings_are_one_county(spark, tmp_path):
     s.unionByName(twin).write.parquet(f"{tmp_path}/supplier.parquet")
     rows = du.county_rows(spark, str(tmp_path))
     assert rows.count() == s.count() and rows.where("s_suppkey = 2001").count() == 0
+
+
+def test_lines_past_2001_are_read(spark, tmp_path):
+    for name in ("supplier", "customer", "orders"):
+        shutil.copy(f"{SF}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    late = li.where("l_returnflag = 'R' and l_quantity > 44").limit(1).withColumn("l_shipdate", F.lit("2003-05-09").cast(li.schema["l_shipdate"].dataType))
+    late = late.withColumn("l_extendedprice", F.lit(7.0).cast(li.schema["l_extendedprice"].dataType))
+    li.unionByName(late).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.value for r in QUERIES["b30_latest_within_window"](spark, str(tmp_path)).where("value is not null").collect()] == [7.0]
+    assert QUERIES["f1_appreciation"](spark, str(tmp_path)).count() <= 1
