@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a task turns into numpy arrays at a time (a longer text is taken alone).
@@ -34,6 +35,29 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in the shared folder: each is written once, read by all that need it, and dropped after its
+    last reader has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.paths[name])
+        return self.spark.read.schema(df.schema).parquet(self.paths[name])
+
+    def numbered(self, name: str, df: DataFrame, rid: str) -> DataFrame:
+        """df with a row number in column `rid`, fixed by being written: read twice, a row has the same number, which
+        monotonically_increasing_id alone does not promise for a frame that comes out of a shuffle."""
+        return self.put(name, df.withColumn(rid, F.monotonically_increasing_id()))
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """mapInArrow whose workers find this package, also when only the driver's path names it."""
     root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment

@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geofit.llm.common import blocks, buffers, map_arrow, run_bounds, staged
+from geofit.llm.common import Scratch, blocks, buffers, map_arrow, run_bounds, staged
 
 WINDOW_WORDS = 10
 #: Bytes of benchmark text in one automaton; some 100 times as much memory in each task.
 AUTOMATON_BYTES = 2 << 20
-#: Contaminated rows are broadcast up to this number, and joined beyond it.
-SMALL_ROWS = 2_000_000
 
 #: Byte -> lower-cased byte, or a space for a separator.
 _NORMAL = bytes(
@@ -64,25 +62,35 @@ class Automaton:
         if not self.empty:
             self.machine.make_automaton()
 
+    def ends(self, text: str | None) -> Iterator[int]:
+        words = words_of(text)
+        return (end for end, _ in self.machine.iter((b" " + b" ".join(words) + b" ").decode("latin-1"))) if words else iter(())
+
     def find(self, normal: bytes) -> list[tuple[int, int, int]]:
         """(end of the match in normalised bytes, words, window) for each occurrence."""
         return [(end, n, i) for end, (i, n) in self.machine.iter(normal.decode("latin-1"))]
 
 
+def _item_blocks(benchmark: DataFrame, automaton_bytes: int) -> list[DataFrame]:
+    """The items (item_id, text) in blocks of about automaton_bytes of text at most; the sizes are summed in Spark, and a
+    block is collected when it is used."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    n_blocks = -(-total * 2 // automaton_bytes) if total > automaton_bytes else 1
+    return [items] if n_blocks == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) for k in range(n_blocks)]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """doc_id, n_words, hits (array of item ids), n_hit, spans (array of [from, to) in characters of the original
-    text: the maximal runs of hit words, from the first's start to the last's end) and row (the row's place in docs)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    # Blocks of items by running size of text; the sizes are summed in Spark, and a block is read when it is used.
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-int(total) * 2 // automaton_bytes)) if total > automaton_bytes else 1
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    if n_blocks == 1:
-        return _scan(docs, [tuple(r) for r in items.collect()], size).drop("word_runs")
-    parts = []
-    for k in range(n_blocks):
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()]
-        parts.append(staged(_scan(docs, own, size), "scan"))
+    text: the maximal runs of hit words, from the first's start to the last's end) and row (a number of the row)."""
+    item_blocks = _item_blocks(benchmark, automaton_bytes)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if len(item_blocks) == 1:
+        return _scan(docs.withColumn("row", F.monotonically_increasing_id()), [tuple(r) for r in item_blocks[0].collect()], size).drop("word_runs")
+    scratch = Scratch(docs.sparkSession)
+    docs = scratch.numbered("documents", docs, "row")  # read once for each block: a row keeps its number
+    parts = [scratch.put(f"scan-{k}", _scan(docs, [tuple(r) for r in own.collect()], size)) for k, own in enumerate(item_blocks)]
+    scratch.drop("documents")
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
@@ -151,8 +159,26 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs."""
-    hit = staged(scan(docs, benchmark, size).where("n_hit > 0").select(F.col("row").alias("__row")), "contaminated")
-    hit = F.broadcast(hit) if hit.count() <= SMALL_ROWS else hit
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(hit, "__row", "left_anti").drop("__row")
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs: documents go through the automaton whole and are kept
+    or not, so no row is looked up again."""
+    scratch = Scratch(docs.sparkSession)
+    for k, own in enumerate(item_blocks := _item_blocks(benchmark, automaton_bytes)):
+        docs = _without(docs, [tuple(r) for r in own.collect()], size)
+        if k + 1 < len(item_blocks):
+            docs = scratch.put(f"clean-{k}", docs)
+            if k:
+                scratch.drop(f"clean-{k - 1}")
+    return docs
+
+
+def _without(docs: DataFrame, items: list[tuple[str | None, str | None]], size: int) -> DataFrame:
+    shared, at = docs.sparkSession.sparkContext.broadcast(items), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Automaton(shared.value, size)
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string())
+            yield batch if machine.empty else batch.filter(pa.array([not any(True for _ in machine.ends(t.as_py())) for t in texts]))
+
+    return map_arrow(docs, run, docs.schema)

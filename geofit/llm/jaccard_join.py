@@ -16,7 +16,8 @@ Documents whose sets of word shingles link when their Jaccard similarity reaches
    that the bound could be met without any other; for a document that holds fewer, the bound falls by their number.
 5. All links go into the components.
 
-Nothing is lost at any step. Lists of ids are broadcast only when counted below SMALL_IDS; else they are joined.
+Nothing is lost at any step. Ids, of eight bytes each, are broadcast up to IDS_BYTES of them and joined beyond. Rows are numbered once, in a table, so that any frame may be
+given.
 
 Null texts and texts without words have empty sets, no links and themselves as component. Rows of one doc_id are one
 document of several texts: a link of any is a link of it. A row with null doc_id keeps its links to itself: its
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofit.llm.common import buffers, map_arrow, staged
+from geofit.llm.common import Scratch, buffers, map_arrow, staged
 from geofit.llm.components import components
 from geofit.llm.shingles import Similar, rounds, set_keys, shingle_sets, signatures
 
@@ -42,12 +43,12 @@ COMMON = 12
 CELL = 8
 LEADERS = 6
 TRIES = 10
-SMALL_IDS = 4_000_000
+IDS_BYTES = 4 << 20
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, how: str, name: str = "rid") -> DataFrame:
-    """left_semi or left_anti join on ids; they are broadcast if there are few enough."""
-    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, name, how)
+    """left_semi or left_anti join on ids, which are longs: their number gives their bytes."""
+    return rows.join(F.broadcast(ids) if 8 * ids.count() <= IDS_BYTES else ids, name, how)
 
 
 def _sets(rows: DataFrame, k: int, fields: list[tuple[str, pa.DataType]], ddl: str, make) -> DataFrame:
@@ -66,24 +67,29 @@ def _sets(rows: DataFrame, k: int, fields: list[tuple[str, pa.DataType]], ddl: s
 
 
 def rooted(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """rid (place in docs), doc_id, n (size of the set), root (the same for all rows of a component)."""
-    similar = Similar(num, den)
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """rid, doc_id, n (size of the set), root (the same for all rows of a component), of docs (rid, doc_id, text) whose
+    rids are the same at every reading."""
+    similar, scratch = Similar(num, den), Scratch(docs.sparkSession)
+    texts = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def keys(rids, tokens, at):
         return [rids, np.diff(at), *[x.view(np.int64) for x in set_keys(tokens, at)]]
 
     keyed = _sets(texts, k, [("rid", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())], "rid long, n long, k1 long, k2 long", keys)
-    keyed = staged(keyed.join(texts.select(F.col("rid"), F.col("doc_id")), "rid"), "sets")
-    classes = staged(keyed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("rep"), F.count("rid").alias("copies")), "classes")
+    keyed = scratch.put("sets", keyed.join(texts.select(F.col("rid"), F.col("doc_id")), "rid"))
+    classes = scratch.put("classes", keyed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("rep"), F.count("rid").alias("copies")))
     spare = keyed.join(classes, ["k1", "k2", "n"]).where("rid <> rep").select("rid")
-    members = staged(keyed.join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep")), "members")
+    members = scratch.put("members", keyed.join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep")))
+    spare = scratch.put("copies", spare)
+    scratch.drop("sets", "classes")
 
-    links = staged(_links(by_ids(texts, staged(spare, "copies"), "left_anti"), classes, k, similar), "jaccard-links")
+    links = _links(by_ids(texts, spare, "left_anti"), k, similar)
+    scratch.drop("copies")
     grouped = components(links)
     # Classes to documents: the rows of one doc_id are held together, and the least doc_id names the component.
     own = members.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep")).drop("component")
-    own = staged(own.select("rid", "doc_id", "n", "root"), "rooted")
+    own = scratch.put("rooted", own.select("rid", "doc_id", "n", "root"))
+    scratch.drop("members")
     split = own.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     several = own.join(split.select("doc_id", "a"), "doc_id").where("n > 0").select("a", F.col("root").alias("b"))
     joined = components(several)
@@ -92,7 +98,7 @@ def rooted(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def link(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    own = rooted(docs, k, num, den)
+    own = rooted(Scratch(docs.sparkSession).numbered("texts", docs.select("doc_id", "text"), "rid"), k, num, den)
     least = own.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = own.join(least, "root", "left")
     return named.select(
@@ -103,10 +109,11 @@ def link(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the one of least doc_id stays (ties by place)."""
-    own = staged(rooted(docs, k, num, den).where("n > 0"), "components")
+    docs = Scratch(docs.sparkSession).numbered("numbered", docs, "__rid")
+    own = staged(rooted(docs.select(F.col("__rid").alias("rid"), "doc_id", "text"), k, num, den).where("n > 0"), "components")
     first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("rid"))
     spare = staged(own.join(first, "rid", "left_anti").select("rid"), "near-duplicates")
-    return by_ids(docs.withColumn("__rid", F.monotonically_increasing_id()), spare.withColumnRenamed("rid", "__rid"), "left_anti", "__rid").drop("__rid")
+    return by_ids(docs, spare.withColumnRenamed("rid", "__rid"), "left_anti", "__rid").drop("__rid")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
@@ -131,8 +138,10 @@ def _leaders(shared: DataFrame) -> DataFrame:
     return ways.withColumn("lead", F.min(F.struct("place", "rid")).over(w)["rid"]).select("rid", "need", "lead")
 
 
-def _links(texts: DataFrame, classes: DataFrame, k: int, similar: Similar) -> DataFrame:
+def _links(texts: DataFrame, k: int, similar: Similar) -> DataFrame:
     """Links (a, b) between class representatives that join all linked classes into their components."""
+    scratch = Scratch(texts.sparkSession)
+
     def signs(rids, tokens, at):
         doc, sign, need = signatures(tokens, at, similar)
         return [rids[doc], sign.view(np.int64), need.astype(np.int32)]
@@ -143,38 +152,45 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, similar: Similar) -> Da
     signed = _sets(texts, k, [("rid", pa.int64()), ("sign", pa.int64()), ("need", pa.int32())], "rid long, sign long, need int", signs)
     w = Window.partitionBy("sign")
     shared = signed.withColumn("first", F.min("rid").over(w)).withColumn("last", F.max("rid").over(w)).withColumn("held", F.count("rid").over(w)).where("first <> last")
-    shared = staged(shared, "signatures")
+    shared = scratch.put("signatures", shared)
     # A document that shares too few signatures with all others together has no partner.
     able = shared.groupBy("rid", "need").agg(F.count("sign").alias("n")).where("n >= need").select("rid").distinct()
-    able = staged(able, "able")
-    shared = staged(by_ids(shared, able, "left_semi"), "signatures")
-    sets = staged(_sets(by_ids(texts, able, "left_semi"), k, [("rid", pa.int64()), ("tokens", pa.list_(pa.int64()))], "rid long, tokens array<long>", whole), "candidate-sets")
+    able = scratch.put("able", able)
+    shared = scratch.put("able-signatures", by_ids(shared, able, "left_semi"))
+    scratch.drop("signatures")
+    sets = scratch.put("candidate-sets", _sets(by_ids(texts, able, "left_semi"), k, [("rid", pa.int64()), ("tokens", pa.list_(pa.int64()))], "rid long, tokens array<long>", whole))
 
     # Groups of similar documents: each with the leaders it shares most signatures with.
     led = shared.select("rid", "need", F.explode(F.array("first", "last")).alias("lead")).unionByName(_leaders(shared)).where("rid <> lead")
     tried = led.groupBy("rid", "lead").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need")
     best = tried.groupBy("rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "lead")), False), 1, TRIES).alias("best"))
     pairs = best.select(F.col("rid").alias("a"), F.explode("best.lead").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first_links = staged(_linked(pairs, sets, similar), "jaccard-links")
+    first_links = scratch.put("jaccard-links", _linked(pairs, sets, similar))
     found = components(first_links)
     groups = able.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     sizes = groups.groupBy("component").agg(F.count("rid").alias("size"))
     chunk = F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / GROUP_SIZE))
-    groups = staged(groups.join(sizes, "component").select("rid", "component", F.xxhash64("component", chunk).alias("grp")), "groups")
+    groups = scratch.put("groups", groups.join(sizes, "component").select("rid", "component", F.xxhash64("component", chunk).alias("grp")))
 
-    rows = staged(shared.select("rid", "need", "sign").join(groups, "rid"), "grouped-signatures")
+    rows = scratch.put("grouped-signatures", shared.select("rid", "need", "sign").join(groups, "rid"))
+    scratch.drop("able-signatures")
     matrix = rows.groupBy("sign", "component", "grp").agg(F.min("need").alias("need"))
     spread = matrix.select("sign", "component").distinct().groupBy("sign").agg(F.count(F.lit(1)).alias("n_components")).where("n_components > 1")
-    rows = staged(rows.join(spread, "sign"), "open-signatures")
+    rows = scratch.put("open-signatures", rows.join(spread, "sign"))
+    scratch.drop("grouped-signatures")
     common = F.col("n_components") > COMMON
     own_common = rows.groupBy("rid", "need").agg(F.count_if(common).alias("n_common"))
     rows = rows.join(own_common, ["rid", "need"]).where(~common | (F.col("n_common") >= F.col("need")))
     # What a linked pair shares at least of the rows that are left: a document without its common signatures misses those.
     rows = rows.withColumn("ask", F.when(F.col("n_common") >= F.col("need"), F.col("need")).otherwise(F.col("need") - F.col("n_common")))
-    rows = staged(rows.withColumn("grp_ask", F.min("ask").over(Window.partitionBy("grp", "need"))), "queries")
-    matrix = staged(rows.groupBy("sign", "component", "grp", "need").agg(F.min("grp_ask").alias("grp_ask")), "token-group-matrix")
+    rows = scratch.put("queries", rows)
+    scratch.drop("open-signatures")
+    asks = rows.groupBy("grp", "need").agg(F.min("ask").alias("grp_ask"))
+    matrix = scratch.put("token-group-matrix", rows.select("sign", "component", "grp", "need").distinct().join(asks, ["grp", "need"]))
     met = rows.select("sign", "rid", F.col("component").alias("own"), "need", "ask").join(matrix.select("sign", "component", "grp", F.col("need").alias("grp_need"), "grp_ask"), "sign").where("component < own and need = grp_need")
     opened = met.groupBy("rid", "grp", "need").agg(F.count("sign").alias("n"), F.min(F.least("ask", "grp_ask")).alias("least")).where("n >= least").select("rid", "grp").distinct()
     inside = groups.select(F.col("rid").alias("b"), "grp")
     more = _linked(opened.withColumnRenamed("rid", "a").join(inside, "grp").select("a", "b").distinct(), sets, similar)
-    return first_links.unionByName(more)
+    links = scratch.put("links", first_links.unionByName(more))
+    scratch.drop(*[name for name in scratch.paths if name != "links"])
+    return links

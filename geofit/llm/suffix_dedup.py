@@ -16,12 +16,13 @@ times, so the sort is told first what cannot repeat, and what repeats alike:
    lengths they share. The merge finds the windows that repeat.
 4. What repeats is looked up for every document that holds the span, as byte ranges, which are united and cut out.
 
-Runs go to buckets by the span's hash (2) or the core (3), of bounded mean size. A core of more than HOT parts is
-dealt by the windows' exact distance to the anchor too. Within a run of (2) equal strings are sent once. Lists are
-broadcast only when counted below SMALL_ROWS; else they are joined.
+Runs go to buckets by the span's hash (2) or the core (3), of bounded mean size. Windows of a core of more than HOT
+parts are dealt by the window's own hash. Within a run equal strings (2) and equal windows of a hot core (3) are sent
+once, so that what a third of all documents hold reaches its bucket once a run. Nothing is broadcast by hint.
 
 Null text is empty; texts shorter than `length` hold nothing to find; repeated rows are documents of their own, and
-a null doc_id is kept. Other columns are carried by `cut` only when asked for.
+a null doc_id is kept. Other columns are not carried by `cut`. Rows are numbered once, in a table, so that any frame
+may be given. Texts are whole rows of a task, however long; spans are found in blocks of SPAN_BLOCK bytes or one text.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from geofit.llm.common import SpanHash, blocks, buffers, map_arrow, staged
+from geofit.llm.common import Scratch, SpanHash, blocks, buffers, map_arrow
 from geofit.llm.loser_tree import common_prefix, merge, prefixes
 
 MIN_BYTES = 400
@@ -49,7 +51,6 @@ PARTS_A_BUCKET = 2000
 SPAN_BLOCK = 1 << 15
 #: Bytes of spans that a task sorts into one set of runs.
 RUN_BYTES = 8 << 20
-SMALL_ROWS = 2_000_000
 #: A word: what stands between white space; Han characters and kana, written without it, are a word each.
 _SINGLE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = re.compile(f"[{_SINGLE}]|[^\\s{_SINGLE}]+")
@@ -101,31 +102,37 @@ def spans(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     return doc, first, last, anchor[new], wanted[new], hashes(first, last + length)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
-
-
-def _spans(texts: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """gram, span, rid, at, last (first and last window start in the document), and before (bytes of the anchor from
-    `at`) and text when asked for."""
-    fields = [("gram", pa.int64()), ("span", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("last", pa.int64())]
-    fields += [("before", pa.int64()), ("text", pa.binary())] if with_text else []
-    schema = pa.schema(fields)
+def _spans(texts: DataFrame, length: int) -> DataFrame:
+    """gram, span, rid, at, last (first and last window start in the document), before (bytes of the anchor from `at`)."""
+    schema = pa.schema([(name, pa.int64()) for name in ("gram", "span", "rid", "at", "last", "before")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = buffers(batch.column(1))
             for lo, hi in blocks(offsets, SPAN_BLOCK):
-                block, base = data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
-                doc, first, last, anchor, gram, span = spans(block, base, length)
-                out = [gram.view(np.int64), span.view(np.int64), rids[lo + doc], first - base[doc], last - base[doc]]
-                if with_text:
-                    raw = block.tobytes()
-                    out += [anchor - first, pa.array([raw[a: b + length] for a, b in zip(first.tolist(), last.tolist())], pa.binary())]
+                base = offsets[lo: hi + 1] - offsets[lo]
+                doc, first, last, anchor, gram, span = spans(data[offsets[lo]: offsets[hi]], base, length)
+                out = [gram.view(np.int64), span.view(np.int64), rids[lo + doc], first - base[doc], last - base[doc], anchor - first]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=schema)
 
-    return map_arrow(texts, run, "gram long, span long, rid long, at long, last long" + (", before long, text binary" if with_text else ""))
+    return map_arrow(texts.select("rid", "text"), run, "gram long, span long, rid long, at long, last long, before long")
+
+
+def _span_texts(texts: DataFrame, several: DataFrame, length: int) -> DataFrame:
+    """gram, span, before, text of the spans in `several`: each text meets the list of its own spans."""
+    own = several.groupBy("rid").agg(F.collect_list(F.struct("gram", "span", "before", "at", "last")).alias("own"))
+    schema = pa.schema([("gram", pa.int64()), ("span", pa.int64()), ("before", pa.int64()), ("text", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, held in zip(batch.column(0), batch.column(1)):
+                raw = text.as_buffer().to_pybytes()
+                gram, span, before, at, last = (held.values.field(k) for k in range(5))
+                cut_ = [raw[a: b + length] for a, b in zip(at.to_pylist(), last.to_pylist())]
+                yield pa.RecordBatch.from_arrays([gram, span, before, pa.array(cut_, pa.binary())], schema=schema)
+
+    return map_arrow(texts.join(own, "rid").select("text", "own"), run, "gram long, span long, before long, text binary")
 
 
 def _runs(rows: DataFrame, schema: pa.Schema, ddl: str, make: Callable[[list[dict]], Iterator[dict]]) -> DataFrame:
@@ -168,8 +175,8 @@ def _merged(runs: DataFrame, schema: pa.Schema, ddl: str, make: Callable[[list[d
 _RUN = pa.schema([("bucket", pa.int64()), ("grams", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("before", pa.list_(pa.int32())), ("copies", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("rests", pa.binary())])
 _RUN_DDL = "bucket long, grams array<long>, ids array<long>, before array<int>, copies array<int>, shared array<int>, sizes array<int>, rests binary"
 _STRING = pa.schema([("gram", pa.int64()), ("span", pa.int64()), ("before", pa.int64()), ("copies", pa.int64()), ("text", pa.binary())])
-_REFER = pa.schema([("bucket", pa.int64()), ("grams", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("base", pa.list_(pa.int32())), ("texts", pa.list_(pa.binary())), ("owner", pa.list_(pa.int32())), ("start", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32()))])
-_REFER_DDL = "bucket long, grams array<long>, ids array<long>, copies array<long>, base array<int>, texts array<binary>, owner array<int>, start array<int>, shared array<int>"
+_REFER = pa.schema([("bucket", pa.int64()), ("grams", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("base", pa.list_(pa.int32())), ("texts", pa.list_(pa.binary())), ("owner", pa.list_(pa.int32())), ("start", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("known", pa.list_(pa.list_(pa.int64())))])
+_REFER_DDL = "bucket long, grams array<long>, ids array<long>, copies array<long>, base array<int>, texts array<binary>, owner array<int>, start array<int>, shared array<int>, known array<array<long>>"
 _REPEAT = pa.schema([("gram", pa.int64()), ("span", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -244,21 +251,34 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     """gram, span, start, end: windows [start, end] of a span that equal a window of another, from distinct spans with
     `parts` (part, core, hot); spans that repeat whole take part but are not told of."""
     def runs(held: list[dict]) -> Iterator[dict]:
-        by: dict[int, list[tuple[dict, int, int]]] = {}  # spans with the windows [a, b) that belong there
+        by: dict[int, list[list]] = {}  # span, its copies, first window and text of what belongs there
+        same: dict[int, dict[bytes, list]] = {}  # the first holder of each window of hot cores
+        known: dict[int, list[list[int]]] = {}  # windows that a run holds twice: gram, span, start
         for r in held:
             n = len(r["text"]) - length + 1
             for p in r["parts"]:
                 a, b = max(0, r["before"] - p["part"] * NEAR - NEAR + 1), min(n, r["before"] - p["part"] * NEAR + 1)
-                for s, e in zip(range(a, b), range(a + 1, b + 1)) if p["hot"] else [(a, b)]:
-                    far = r["before"] - s if p["hot"] else -1
-                    by.setdefault(hash((p["core"], far)) % buckets, []).append((r, s, e))
+                if not p["hot"]:
+                    by.setdefault(hash(p["core"]) % buckets, []).append([r, r["copies"], a, r["text"][a: b + length - 1]])
+                    continue
+                for s in range(a, b):
+                    window = r["text"][s: s + length]
+                    bucket = xxhash.xxh3_64_intdigest(window) % buckets
+                    entry = [r, r["copies"], s, window]
+                    first = same.setdefault(bucket, {}).setdefault(window, entry)
+                    if first is entry:
+                        by.setdefault(bucket, []).append(entry)
+                        continue
+                    for e in (entry, first):
+                        if e[1] == 1:
+                            known.setdefault(bucket, []).append([e[0]["gram"], e[0]["span"], e[2]])
+                    first[1] += r["copies"]
         for bucket, own in by.items():
-            texts = [r["text"][a: b + length - 1] for r, a, b in own]
+            texts = [e[3] for e in own]
             listed = sorted((t[s: s + length], k, s) for k, t in enumerate(texts) for s in range(len(t) - length + 1))
-            shared = prefixes([x[0] for x in listed])
             yield {
-                "bucket": bucket, "grams": [r["gram"] for r, _, _ in own], "ids": [r["span"] for r, _, _ in own], "copies": [r["copies"] for r, _, _ in own], "base": [a for _, a, _ in own],
-                "texts": texts, "owner": [x[1] for x in listed], "start": [x[2] for x in listed], "shared": shared,
+                "bucket": bucket, "grams": [e[0]["gram"] for e in own], "ids": [e[0]["span"] for e in own], "copies": [e[1] for e in own], "base": [e[2] for e in own],
+                "texts": texts, "owner": [x[1] for x in listed], "start": [x[2] for x in listed], "shared": prefixes([x[0] for x in listed]), "known": known.get(bucket, []),
             }
 
     def windows(run: dict, texts: list[bytes], number: int) -> Iterator[tuple[bytes, int, object]]:
@@ -274,6 +294,9 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                     if held[i]["copies"][k] == 1:
                         found.setdefault((i, k), []).append(s + held[i]["base"][k])
             last = tag
+        for r in held:
+            for gram, span, s in r["known"]:
+                yield {"gram": gram, "span": span, "start": s, "end": s}
         for (i, k), starts in found.items():
             s = np.unique(starts)
             cuts = np.flatnonzero(np.diff(s) > 1)
@@ -284,30 +307,34 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def repeated_ranges(texts: DataFrame, length: int = MIN_BYTES) -> DataFrame:
-    """rid, ranges: sorted arrays of the byte ranges [from, to) covered by repeated strings, of texts (rid, text).
-    Ranges may touch or overlap."""
-    narrow = staged(_spans(texts, length, False), "spans")
-    twice = staged(narrow.groupBy("gram").agg(F.count("rid").alias("n")).where("n > 1").select("gram"), "repeated-grams")
-    twice = _small(twice)
-    several = staged(narrow.join(twice, "gram", "left_semi"), "repeated-spans")
+    """rid, ranges: sorted arrays of the byte ranges [from, to) covered by repeated strings, of texts (rid, text), whose
+    rids must be the same at every reading. Ranges may touch or overlap."""
+    scratch = Scratch(texts.sparkSession)
+    narrow = scratch.put("spans", _spans(texts, length))
+    twice = narrow.groupBy("gram").agg(F.count("rid").alias("n")).where("n > 1").select("gram")
+    several = scratch.put("repeated-spans", narrow.join(twice, "gram", "left_semi"))
+    scratch.drop("spans")
     parallel = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * parallel, several.count() // SPANS_A_BUCKET)
-    strings = staged(distinct_spans(_spans(texts, length, True).join(twice, "gram", "left_semi").select("gram", "span", "before", "text"), buckets), "distinct-spans")
+    strings = scratch.put("distinct-spans", distinct_spans(_span_texts(texts, several, length), buckets))
 
-    per_gram = strings.groupBy("gram").agg(F.count("span").alias("n")).where("n > 1").select("gram")
-    mixed = strings.join(_small(staged(per_gram, "mixed-grams")), "gram", "left_semi")
-    parts = staged(_part_cores(mixed, length), "parts")
+    mixed = strings.join(strings.groupBy("gram").agg(F.count("span").alias("n")).where("n > 1").select("gram"), "gram", "left_semi")
+    parts = scratch.put("parts", _part_cores(mixed, length))
     cores = parts.groupBy("core").agg(F.count("part").alias("n")).where("n > 1").select("core", (F.col("n") > HOT).alias("hot"))
-    open_parts = staged(parts.join(_small(staged(cores, "repeated-cores")), "core"), "open-parts")
+    open_parts = scratch.put("open-parts", parts.join(cores, "core"))
+    scratch.drop("parts")
     owners = open_parts.groupBy("gram", "span").agg(F.collect_list(F.struct("part", "core", "hot")).alias("parts"))
     dealt = strings.join(owners, ["gram", "span"]).repartition(2 * parallel)
-    windows = staged(repeated_windows(dealt, max(4 * parallel, open_parts.count() // PARTS_A_BUCKET), length), "repeated-windows")
+    windows = scratch.put("repeated-windows", repeated_windows(dealt, max(4 * parallel, open_parts.count() // PARTS_A_BUCKET), length))
+    scratch.drop("open-parts")
 
     whole = strings.where("copies > 1").select("gram", "span")
     covered = several.join(whole, ["gram", "span"]).select("rid", F.col("at").alias("from"), (F.col("last") + length).alias("to"))
     partly = several.join(windows, ["gram", "span"]).select("rid", (F.col("at") + F.col("start")).alias("from"), (F.col("at") + F.col("end") + length).alias("to"))
     ranges = covered.unionByName(partly).groupBy("rid").agg(F.array_sort(F.collect_list(F.array("from", "to"))).alias("ranges"))
-    return staged(ranges, "repeated-ranges")
+    found = scratch.put("repeated-ranges", ranges)
+    scratch.drop("repeated-spans", "distinct-spans", "repeated-windows")
+    return found
 
 
 def _union(ranges: list[list[int]] | None) -> list[list[int]]:
@@ -322,7 +349,7 @@ def _union(ranges: list[list[int]] | None) -> list[list[int]]:
 
 def cut(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = Scratch(docs.sparkSession).numbered("texts", docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "rid")
     ranges = repeated_ranges(texts.select("rid", "text"), length)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -335,7 +362,7 @@ def cut(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
                 out.append({"doc_id": doc_id, "n_bytes": len(raw), "n_removed": sum(b - a for a, b in gone), "n_spans": len(gone), "kept_sha256": kept})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return map_arrow(texts.join(_small(ranges), "rid", "left").select("doc_id", "text", "ranges"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(texts.join(ranges, "rid", "left").select("doc_id", "text", "ranges"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _without(raw: bytes, gone: list[list[int]]) -> bytes:
@@ -381,11 +408,14 @@ def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
                     out = [], [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
-    held = texts.join(_small(ranges), "rid").select("rid", "text", "ranges")
-    passages = staged(map_arrow(held, run, "rid long, passage binary, from long, to long"), "passages")
-    twice = staged(passages.groupBy("passage").agg(F.count("rid").alias("n")).where("n > 1").select("passage"), "repeated-passages")
-    found = passages.join(_small(twice), "passage", "left_semi")
-    return staged(found.groupBy("rid").agg(F.array_sort(F.collect_list(F.array("from", "to"))).alias("ranges")), "passage-ranges")
+    scratch = Scratch(texts.sparkSession)
+    held = texts.join(ranges, "rid").select("rid", "text", "ranges")
+    passages = scratch.put("passages", map_arrow(held, run, "rid long, passage binary, from long, to long"))
+    twice = passages.groupBy("passage").agg(F.count("rid").alias("n")).where("n > 1").select("passage")
+    found = passages.join(twice, "passage", "left_semi")
+    out = scratch.put("passage-ranges", found.groupBy("rid").agg(F.array_sort(F.collect_list(F.array("from", "to"))).alias("ranges")))
+    scratch.drop("passages")
+    return out
 
 
 def strip(docs: DataFrame, length: int) -> DataFrame:
@@ -401,9 +431,9 @@ def strip_passages(docs: DataFrame, words: int) -> DataFrame:
 def _strip(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """docs with text replaced by what is left of it, and n_chars by its length where there is such a column. A
     character of which a byte is removed goes whole; null text stays null."""
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    numbered = Scratch(docs.sparkSession).numbered("numbered", docs, "__rid")
     ranges = find(numbered.select(F.col("__rid").alias("rid"), F.col("text").cast("string").alias("text")))
-    joined = numbered.join(_small(ranges.select(F.col("rid").alias("__rid"), F.col("ranges").alias("__ranges"))), "__rid", "left").drop("__rid")
+    joined = numbered.join(ranges.select(F.col("rid").alias("__rid"), F.col("ranges").alias("__ranges")), "__rid", "left").drop("__rid")
     names, at, found = docs.columns, docs.columns.index("text"), len(docs.columns)
     out = StructType([StructField(f.name, StringType() if f.name == "text" else LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema.fields])
 

@@ -275,3 +275,17 @@ def test_benchmark_items_without_id_still_contaminate(spark):
         got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontam.digest(decontam.scan(docs, bench, automaton_bytes=most)).collect()}
         assert got == {0: (3, 0, True), 1: (2, 0, True), 2: (3, 1, True), 3: (0, 0, False)}
     assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [3]
+
+
+def test_rows_of_a_shuffle_get_the_same_results_as_rows_of_a_scan(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    runs = {
+        "link": lambda d: jaccard_join.link(d, 3, 9, 10), "keep_one": lambda d: jaccard_join.keep_one(d).select("doc_id"), "clean": lambda d: decontam.clean(d, bench).select("doc_id"),
+        "clean in blocks": lambda d: decontam.clean(d, bench, automaton_bytes=2000).select("doc_id"),
+        "scan in blocks": lambda d: decontam.scan(d, bench, automaton_bytes=2000).select("doc_id", "n_hit"), "cut": lambda d: suffix_dedup.cut(d),
+        "strip": lambda d: suffix_dedup.strip(d, 200).selectExpr("doc_id", "md5(text) AS t"),
+    }
+    for name, run in runs.items():
+        shuffled = docs.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in docs.columns[1:]]).repartition(13, F.rand()).select(*docs.columns)
+        assert sorted(map(tuple, run(docs).collect())) == sorted(map(tuple, run(shuffled).collect())), name
