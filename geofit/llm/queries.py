@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over the driver's tables, with SQL where SQL can express them."""
+"""The operators and the pipeline as queries over the driver's tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geofit.llm import chat_format, decontam, jaccard_join, langid, packing, sharding, sphere_caps, suffix_dedup, url_filter, warc_fixity
+from geofit.llm import chat_format, decontam, jaccard_join, langid, merkle_manifest, packing, prefix_trie, sharding, sphere_caps, suffix_dedup, url_filter, warc_fixity
 from geofit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,96 @@ f AS (
 SELECT doc_id, n_bytes, CASE WHEN prefix = '' THEN '*' ELSE prefix END AS shard, depth, shard_docs, shard_bytes, shard_bytes > {sharding.SHARD_BYTES} AS oversize
 FROM a JOIN f ON a.address[1 : f.depth] = f.prefix
 """
+
+
+def _crc32(key: str) -> str:
+    """SQL for the unsigned CRC-32 of a number's decimals, bit by bit."""
+    return f"""xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST({key} AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+    lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295::BIGINT)"""
+
+
+def _ascii_lower(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle_manifest.audit(docs, lower, F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END"
+#: Nodes of the levels above a table of leaves, each node's siblings, and each leaf's path as a list of 'left|right'.
+_TREE = """
+{t}up AS (
+  SELECT grp, 0 AS lvl, i, n, node FROM {leaves}
+  UNION ALL SELECT grp, lvl + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(node, '' ORDER BY i)) FROM {t}up WHERE n > 1 GROUP BY grp, lvl, i // 16),
+{t}sib AS (
+  SELECT a.grp, a.lvl, a.i, coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i < a.i), '') || '|' || coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS lr
+  FROM {t}up a JOIN {t}up b ON a.grp = b.grp AND a.lvl = b.lvl AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY ALL),
+{t}path AS (
+  SELECT l.grp, l.i, list(s.lr ORDER BY s.lvl) AS path FROM {leaves} l JOIN {t}sib s ON l.grp = s.grp AND s.i = l.i // CAST(power(16, s.lvl) AS BIGINT) GROUP BY ALL),
+{t}top AS (SELECT grp, node AS top FROM {t}up WHERE n = 1)"""
+
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS grp, {' || '.join(_FIELD(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} AS head,
+    {_FIELD('text')} AS body, {_FIELD(_ascii_lower('text'))} AS lowered, coalesce({_crc32('doc_id')} % 5 = 0, false) AS tampered FROM documents),
+e AS (SELECT doc_id, source, grp, sha256(head || body) AS node, sha256(head || CASE WHEN tampered THEN lowered ELSE body END) AS claimed FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, node) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM e),
+{_TREE.format(t='', leaves='leaves')},
+roots AS (SELECT '' AS grp, grp AS src, top AS node, row_number() OVER (ORDER BY encode(grp)) - 1 AS i, count(*) OVER () AS n FROM top),
+{_TREE.format(t='r', leaves='roots')},
+j AS (
+  SELECT l.doc_id, l.source, l.node AS leaf, l.claimed, r.node AS subroot, rtop.top AS root, coalesce(p.path, []) || coalesce(rp.path, []) AS path
+  FROM leaves l LEFT JOIN path p USING (grp, i) JOIN roots r ON r.src = l.grp LEFT JOIN rpath rp ON rp.i = r.i CROSS JOIN rtop),
+o AS (
+  SELECT doc_id, source, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: replace(x, '|', '')), '')) AS proof_sha256,
+    list_reduce([claimed] || path, lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root FROM j)
+SELECT *, folded_root = root AS verified FROM o
+"""
+
+
+def _rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (conv_id, pos, role, text) and ids of the conversations as the query wants them: each begins with up to five
+    turns of the conversation at the hundred below it. Places keep their gaps; only their order counts."""
+    own = conversations.where("conv_id is not null").select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")])
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).alias("pos")
+    held = F.crc32(F.col("conv_id").cast("string")) % 6
+    kept = own.select("conv_id", "role", "text", place).where(F.col("pos") > held)
+    ids = own.select("conv_id").distinct()
+    firsts = own.where("conv_id % 100 = 0").select("conv_id", "role", "text", place).where("pos <= 5").withColumnRenamed("conv_id", "anchor")
+    begun = ids.withColumn("anchor", F.expr("conv_id - conv_id % 100")).join(firsts, "anchor").where(F.col("pos") <= held)
+    return kept.unionByName(begun.select("conv_id", "role", "text", "pos")), ids
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(*_rebuilt(table(spark, sf_dir, "conversations")))
+
+
+SQL["op12_prefix_trie"] = f"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS anchor, {_crc32('conv_id')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (
+  SELECT c.conv_id, k, role, text FROM c JOIN o ON o.conv_id = c.anchor AND k <= h
+  UNION ALL SELECT c.conv_id, k, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND k > h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d FROM r),
+m AS (
+  SELECT conv_id, 0 AS d, 0 AS chars, '' AS node FROM c
+  UNION ALL SELECT conv_id, d, length(text), sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d)) FROM n),
+e AS (SELECT conv_id, max(d) AS last FROM m GROUP BY conv_id),
+g AS (
+  SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = last), '') AS ends
+  FROM m JOIN e USING (conv_id) GROUP BY d, node),
+u AS (SELECT g.*, pg.node AS up, pg.conv_id AS parent_conv_id FROM g LEFT JOIN m pm ON pm.conv_id = g.conv_id AND pm.d = g.d - 1 LEFT JOIN g pg ON pg.d = pm.d AND pg.node = pm.node),
+k AS (SELECT up, d - 1 AS d, count(*) AS n_children FROM u WHERE up IS NOT NULL GROUP BY ALL),
+f AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k ON k.up = u.node AND k.d = u.d),
+s AS (
+  SELECT a.d, a.node, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved FROM f JOIN m a ON a.conv_id = f.conv_id AND a.d <= f.d GROUP BY a.d, a.node)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, f.parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM f JOIN s ON s.d = f.d AND s.node = f.node
+"""
