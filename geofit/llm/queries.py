@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geofit.llm import chat_format, decontam, jaccard_join, langid, merkle_manifest, packing, prefix_trie, sharding, sphere_caps, suffix_dedup, url_filter, warc_fixity
+from geofit.llm import chat_format, decontam, jaccard_join, langid, merkle_manifest, packing, prefix_trie, sharding, sphere_caps, suffix_dedup, toxicity, url_filter, warc_fixity
 from geofit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,3 +285,11 @@ s AS (
 SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, f.parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
 FROM f JOIN s ON s.d = f.d AND s.node = f.node
 """
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~langid.held_out()))
+    scored = toxicity.score(docs, lexicon).withColumn("held_out", langid.held_out())
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"))
