@@ -18,7 +18,7 @@ def corpus(n=300):
         toxic = i % 4 == 0
         for _ in range(4 if toxic else 0):
             text.insert(rng.randrange(len(text)), rng.choice(["lousy", "wicked", "rottenest", "rottenly"]))
-        if i % 4 == 1:
+        if i % 12 == 1:
             text.insert(0, "wicked game")
         rows.append((i, " ".join(text), "x", 1))
         labels.append((i, int(toxic)))
@@ -50,7 +50,7 @@ def test_learnt_weights_match_brute_force(spark):
         a, b = sum(held), len(held) - sum(held)
         want = math.log((a + 0.5) / (total + 1)) - math.log((b + 0.5) / (len(rows) - total + 1)) - toxicity.DOUBT * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         assert a >= toxicity.LEAST_DOCUMENTS and abs(weight - want) < 1e-9 and weight >= toxicity.LEAST_WEIGHT
-    assert "iousy " in lexicon.terms and "wicked " in lexicon.terms
+    assert "iousy " in lexicon.terms and "rotten" in lexicon.terms
 
 
 def test_toxic_documents_are_found_disguised_or_not(spark):
