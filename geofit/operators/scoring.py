@@ -388,7 +388,7 @@ def two_stage(features, universe, registry, profiles, top: int = 25) -> tuple[Da
 
 # ------------------------------------------------------------------------- rank bands
 
-TOP_CONTENDERS = 300
+RANK_BUCKETS = 64
 DRAWS = 200
 CONCENTRATION = 60.0
 
@@ -424,41 +424,91 @@ def dirichlet_draws(profiles: Profiles, draws: int = DRAWS, concentration: float
     )
 
 
-def contenders(scored: DataFrame, top: int = TOP_CONTENDERS) -> DataFrame:
+def contenders(scored: DataFrame, top: int) -> DataFrame:
     return top_k(scored, ["profile_id"], [F.desc("score"), F.asc("geo_id")], top).select("profile_id", "geo_id")
 
 
+def packed_draws(draws: DataFrame) -> DataFrame:
+    """One row per profile: its domains in order, and each draw with the weights of those domains and their total."""
+    order = F.array_sort(F.collect_list(F.struct("domain", "weight")))
+    vectors = draws.groupBy("profile_id", "draw").agg(order.alias("w"), F.sum("weight").alias("total"))
+    by_draw = F.array_sort(F.collect_list(F.struct("draw", "w", "total")))
+    plans = vectors.groupBy("profile_id").agg(by_draw.alias("v"))
+    return plans.select(
+        "profile_id", F.array_sort(F.array_distinct(F.flatten(F.transform("v", lambda v: v["w"]["domain"])))).alias("domains"),
+        F.transform("v", lambda v: F.struct(v["draw"].alias("draw"), F.map_from_entries(v["w"]).alias("w"), v["total"].alias("total"))).alias("v"),
+    ).withColumn("v", F.transform("v", lambda v: F.struct(
+        v["draw"].alias("draw"), F.transform("domains", lambda d: F.try_element_at(v["w"], d)).alias("w"), v["total"].alias("total"))))
+
+
+def drawn_scores(field: DataFrame, draws: DataFrame) -> DataFrame:
+    """profile_id, draw, geo_id, lg (the log score to 12 digits): every place of the field under every draw that covers
+    enough of its weight.
+
+    A place holds its log scores as one array, a profile its drawn weights as another, so a draw costs arithmetic and no
+    join; domains are few by nature, and the sum over them is written out.
+    """
+    plans = cut(packed_draws(draws))
+    width = plans.agg(F.max(F.size("domains"))).first()[0] or 0
+    places = field.groupBy("profile_id", "geo_id").agg(F.map_from_entries(F.collect_list(F.struct("domain", "lg"))).alias("by"))
+    lined = places.join(plans, "profile_id").select("profile_id", "geo_id", "v", F.transform("domains", lambda d: F.try_element_at("by", d)).alias("lg"))
+    each = lined.select("profile_id", "geo_id", "lg", F.explode("v").alias("v"))
+    terms = [(F.get("v.w", F.lit(i)), F.get("lg", F.lit(i))) for i in range(width)]
+    held = sum((F.when(w.isNotNull() & lg.isNotNull(), w).otherwise(0.0) for w, lg in terms), F.lit(0.0))
+    total = sum((F.coalesce(w * lg, F.lit(0.0)) for w, lg in terms), F.lit(0.0))
+    covered = each.where((held > 0) & (held / F.col("v.total") >= MIN_WEIGHT_COVERED))
+    return covered.select("profile_id", F.col("v.draw").alias("draw"), "geo_id", F.round(total / held, 12).alias("lg"))
+
+
+def counted_ranks(drawn: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
+    """drawn with rank: 1 for the greatest lg of its (profile, draw), ties by geo_id.
+
+    All draws of a profile share bucket borders, evenly set between the hundredths at either end of its log scores. A row
+    counts its place within (profile, draw, bucket) and adds what the histogram of its draw holds in better buckets, so
+    no window holds a field. The borders only balance the work.
+    """
+    ends = F.percentile_approx("lg", F.array(F.lit(0.01), F.lit(0.99)), F.lit(1000))
+    borders = drawn.groupBy("profile_id").agg(ends.alias("e")).select("profile_id", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+    step = F.floor((F.col("hi") - F.col("lg")) / (F.col("hi") - F.col("lo")) * (buckets - 2)).cast("int") + 1
+    bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.greatest(step, F.lit(0)), F.lit(buckets - 1))).otherwise(F.lit(0))
+    dealt = drawn.join(cut(borders), "profile_id").withColumn("bucket", bucket).drop("lo", "hi")
+    sizes = dealt.groupBy("profile_id", "draw", "bucket").agg(F.count(F.lit(1)).alias("held"))
+    better = Window.partitionBy("profile_id", "draw").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("profile_id", "draw", "bucket", F.coalesce(F.sum("held").over(better), F.lit(0)).alias("start"))
+    w = Window.partitionBy("profile_id", "draw", "bucket").orderBy(F.desc("lg"), F.asc("geo_id"))
+    ranked = dealt.withColumn("own", F.row_number().over(w)).join(starts, ["profile_id", "draw", "bucket"])
+    return ranked.select("profile_id", "draw", "geo_id", (F.col("start") + F.col("own")).alias("rank"))
+
+
 def rank_bands(
-    features, registry, profiles, draws: DataFrame, top: int = TOP_CONTENDERS, scores: DataFrame | None = None,
+    features, registry, profiles, draws: DataFrame, top: int | None = None, scores: DataFrame | None = None,
 ) -> DataFrame:
-    """Where each contender lands when the weights are jittered.
+    """Where each place lands when the weights are jittered.
 
-    Domain scores do not depend on the drawn weights, so they are computed once; a draw only
-    re-weights them. The influence scale is taken over the contenders, as a score over that
-    field would. A contender under the coverage floor in a draw has no rank in it. Windows run
-    over (profile, draw), which holds at most `top` rows.
+    Every place of the field has a band; `top` narrows the field to a profile's best. Domain scores do not depend on the
+    drawn weights, so they are computed once; a draw only re-weights them. The influence scale is taken over the field,
+    as a score over that field would. A place under the coverage floor in a draw has no rank in it.
     """
     per_domain = cut(domain_scores(features, registry, profiles)) if scores is None else scores
-    base = coverage_floor(combine_domains(per_domain, influence_scale(per_domain), total_weights(profiles)))
-    field = cut(restrict(per_domain, contenders(base, top)))
+    if top is not None:
+        base = coverage_floor(combine_domains(per_domain, influence_scale(per_domain), total_weights(profiles)))
+        per_domain = cut(restrict(per_domain, contenders(base, top)))
     logs = (
-        field.join(influence_scale(field), ["profile_id", "domain"], "left")
+        per_domain.join(influence_scale(per_domain), ["profile_id", "domain"], "left")
         .select("profile_id", "geo_id", "domain", shaped_log(F.col("d"), F.col("k"), F.col("centre")).alias("lg"))
     )
-    totals = draws.groupBy("profile_id", "draw").agg(F.sum("weight").alias("total"))
-    per_draw = (
-        logs.join(draws, ["profile_id", "domain"])
-        .groupBy("profile_id", "draw", "geo_id")
-        .agg((F.sum(F.col("weight") * F.col("lg")) / F.sum("weight")).alias("lg"), F.sum("weight").alias("w"))
-        .join(totals, ["profile_id", "draw"])
-        .where(F.col("w") / F.col("total") >= MIN_WEIGHT_COVERED)
-    )
-    w = Window.partitionBy("profile_id", "draw").orderBy(F.desc("lg"), F.asc("geo_id"))
-    ranked = per_draw.withColumn("rank", F.row_number().over(w))
-    q = lambda p: F.percentile("rank", F.lit(p))
-    return ranked.groupBy("profile_id", "geo_id").agg(
-        q(0.5).cast("bigint").alias("rank_median"),
-        q(0.05).cast("bigint").alias("rank_p05"),
-        q(0.95).cast("bigint").alias("rank_p95"),
-        (q(0.95) - q(0.05)).cast("bigint").alias("rank_spread"),
+    # A place's ranks are as many as there are draws.
+    ranks = counted_ranks(drawn_scores(logs, draws)).groupBy("profile_id", "geo_id").agg(F.array_sort(F.collect_list("rank")).alias("r"))
+    low, middle, high = (hundredths(F.col("r"), p) for p in (5, 50, 95))
+    whole = lambda x: F.floor(x / 100).cast("bigint")
+    return ranks.select(
+        "profile_id", "geo_id", whole(middle).alias("rank_median"), whole(low).alias("rank_p05"), whole(high).alias("rank_p95"), whole(high - low).alias("rank_spread"),
     )
+
+
+def hundredths(ranked: Column, p: int) -> Column:
+    """100 times the interpolated p-th percentile of an ascending array of whole numbers, without rounding."""
+    at = (F.size(ranked) - 1) * p
+    low = F.get(ranked, (at / 100).cast("int"))
+    high = F.get(ranked, F.least((at / 100).cast("int") + 1, F.size(ranked) - 1))
+    return low * 100 + (at % 100) * (high - low)

@@ -314,18 +314,18 @@ def d15_winners(spark, sf):
 cte("s_draws", """
 SELECT profile_id, domain, CAST(d AS INTEGER) AS draw, weight * (0.5 + ((d * 37 + length(domain) * 11 + ascii(domain) * 5) % 101) / 100.0::DOUBLE) AS weight
 FROM s_dw, range(0, 40) t(d) WHERE weight > 0""")
-cte("s_cont", """
-SELECT profile_id, geo_id FROM sp_score QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, geo_id) <= 300""")
-cte("s_bdesir", "SELECT s.* FROM s_pdesir s JOIN s_cont USING (profile_id, geo_id)")
-base.scoring_ctes("sb", "s_bdesir")
 cte("s_bdraw", """
 SELECT w.profile_id, w.draw, d.geo_id, sum(w.weight * CASE WHEN k IS NULL OR k = 1 THEN ln(greatest(d, 0.01)) ELSE centre + k * (ln(greatest(d, 0.01)) - centre) END)
-  / sum(w.weight) AS lg, sum(w.weight) AS w FROM sb_dom d JOIN s_draws w USING (profile_id, domain) LEFT JOIN sb_infl i USING (profile_id, domain) GROUP BY 1, 2, 3""")
-cte("s_bands", """
-SELECT profile_id, geo_id, CAST(trunc(quantile_cont(r, 0.5)) AS BIGINT) AS rank_median, CAST(trunc(quantile_cont(r, 0.05)) AS BIGINT) AS rank_p05,
-  CAST(trunc(quantile_cont(r, 0.95)) AS BIGINT) AS rank_p95, CAST(trunc(quantile_cont(r, 0.95) - quantile_cont(r, 0.05)) AS BIGINT) AS rank_spread
+  / sum(w.weight) AS lg, sum(w.weight) AS w FROM sp_dom d JOIN s_draws w USING (profile_id, domain) LEFT JOIN sp_infl i USING (profile_id, domain) GROUP BY 1, 2, 3""")
+# Percentiles of ranks in hundredths of a rank, all of them whole numbers.
+cte("s_branks", """
+SELECT profile_id, geo_id, list(r ORDER BY r) AS rs, count(*) - 1 AS m
 FROM (SELECT b.*, row_number() OVER (PARTITION BY profile_id, draw ORDER BY round(lg, 12) DESC, geo_id) AS r FROM s_bdraw b
   JOIN (SELECT profile_id, draw, sum(weight) AS t FROM s_draws GROUP BY 1, 2) USING (profile_id, draw) WHERE w / t >= 0.8) GROUP BY 1, 2""")
+HUNDREDTHS = lambda p: f"(rs[m * {p} // 100 + 1] * 100 + (m * {p} % 100) * (rs[least(m * {p} // 100 + 2, m + 1)] - rs[m * {p} // 100 + 1]))"
+cte("s_bands", f"""
+SELECT profile_id, geo_id, CAST({HUNDREDTHS(50)} // 100 AS BIGINT) AS rank_median, CAST({HUNDREDTHS(5)} // 100 AS BIGINT) AS rank_p05,
+  CAST({HUNDREDTHS(95)} // 100 AS BIGINT) AS rank_p95, CAST(({HUNDREDTHS(95)} - {HUNDREDTHS(5)}) // 100 AS BIGINT) AS rank_spread FROM s_branks""")
 
 
 def formula_draws(spark, n=40):
@@ -341,7 +341,7 @@ def d16(spark, sf):
 
 @query("d16_rank_bands_dirichlet")
 def d16_dirichlet(spark, sf):
-    """300 contenders x 200 draws from the Dirichlet sampler, per profile."""
+    """All places x 200 draws from the Dirichlet sampler, per profile."""
     p = base.profiles(spark)
     return sc.rank_bands(base.place_features(spark, sf), base.registry(spark), p, sc.dirichlet_draws(p))
 
