@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from geofit.functions.curves import desirability, params
 from geofit.functions.stats import binomial_tail
 from geofit.functions.units import format_value
-from geofit.operators.ordering import top_k
+from geofit.operators.lineage import cut
+from geofit.operators.ordering import ordinal, top_k
 
 ATTRIBUTES_PER_TASK = 5
 MIN_PERCENTILE_GAP = 0.25
 MIN_PHRASE_STEPS = 2
 POOL_POPULATION = 40_000
-POOL_SAMPLE = 2_000
 PAIR_ROUNDS = 8
 
 
@@ -57,16 +57,31 @@ def _draw(*parts) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def neighbours(ids: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """round, a, b: in each round all ids stand in a random order, and the first and second, third and fourth, ... are a
+    pair. Of an odd number the last is paired with the first, so nobody is left out.
+
+    Places in the order are exact (ordering.ordinal), so a pair is two rows of one number wherever buckets end.
+    """
+    turns = ids.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    drawn = turns.withColumn("h", _draw(F.lit(str(seed)), "round", "geo_id"))
+    placed = cut(ordinal(drawn, ["round"], [F.col("h"), F.col("geo_id")], "place").select("round", "geo_id", "place"))
+    last = placed.groupBy("round").agg(F.max("place").alias("n")).where("n > 1 and n % 2 = 1")
+    again = placed.where("place = 1").join(last, "round").select("round", "geo_id", (F.col("n") + 1).alias("place"))
+    both = placed.unionByName(again).groupBy("round", F.floor((F.col("place") - 1) / 2).alias("pair")).agg(
+        F.min_by("geo_id", "place").alias("a"), F.max_by("geo_id", "place").alias("b"))
+    return both.where("a <> b").select("round", "a", "b")
+
+
 def choice_candidates(features: DataFrame, universe: DataFrame, registry: DataFrame, attributes: list[str], seed: int = 7,
-                      min_population: int = POOL_POPULATION, sample: int = POOL_SAMPLE, rounds: int = PAIR_ROUNDS) -> DataFrame:
+                      min_population: int = POOL_POPULATION, rounds: int = PAIR_ROUNDS) -> DataFrame:
     """Usable A/B pairs: a, b and the attributes shown.
 
-    Places are drawn at random (the sample is bounded), shuffled into buckets a few times, and
-    the first and last of each bucket make a pair: no place meets every other.
+    All eligible places are offered once a round, each with its neighbour in a random order: no place meets every other.
     """
     s = F.lit(str(seed))
     entries = registry.select("indicator_id", "phrases", (F.col("curve") == "lower_better").alias("lower"))
-    places = (
+    places = cut(
         features.where(F.col("indicator_id").isin(*attributes) & F.col("value").isNotNull())
         .join(universe.where(F.col("population") > min_population).select("geo_id"), "geo_id", "left_semi")
         .join(entries, "indicator_id")
@@ -74,20 +89,17 @@ def choice_candidates(features: DataFrame, universe: DataFrame, registry: DataFr
         .agg(F.array_sort(F.collect_list(F.struct(
             F.col("indicator_id").alias("indicator"), "value", "percentile", "lower", phrase_rung(F.col("percentile"), F.col("phrases")).alias("rung")))).alias("at"))
         .where(F.size("at") == len(attributes))
-        .orderBy(_draw(s, "geo_id")).limit(sample)
     )
-    turns = places.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("h", _draw(s, "round", "geo_id"))
-    bucket = F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") % (sample // 2)
-    side = F.struct("h", "geo_id", "at")
-    pairs = turns.groupBy("round", bucket.alias("bucket")).agg(F.min(side).alias("x"), F.max(side).alias("y")).where("x.geo_id <> y.geo_id")
+    met = neighbours(places.select("geo_id"), rounds, seed).select("a", "b").distinct()
+    side = lambda name: places.select(F.col("geo_id").alias(name), F.struct("geo_id", "at").alias({"a": "x", "b": "y"}[name]))
+    pairs = met.join(side("a"), "a").join(side("b"), "b")
     both = F.zip_with("x.at", "y.at", lambda a, b: F.struct(
         a["indicator"].alias("indicator"), a["value"].alias("a_raw"), b["value"].alias("b_raw"), a["percentile"].alias("a_pct"), b["percentile"].alias("b_pct"),
         a["lower"].alias("lower"), a["rung"].alias("a_rung"), b["rung"].alias("b_rung")))
     draw = F.transform(F.filter(both, separates), lambda x: F.struct(_draw(s, "x.geo_id", "y.geo_id", x["indicator"]).alias("h"), x.alias("x")))
     shown = F.transform(F.slice(F.array_sort(draw), 1, ATTRIBUTES_PER_TASK), lambda r: r["x"])
     return (
-        pairs.select(F.col("x.geo_id").alias("a"), F.col("y.geo_id").alias("b"), shown.alias("attributes"))
-        .dropDuplicates(["a", "b"])
+        pairs.select("a", "b", shown.alias("attributes"))
         .where((F.size("attributes") == ATTRIBUTES_PER_TASK) & ~dominated(F.col("attributes")))
     )
 

@@ -88,10 +88,10 @@ POOL = ["spend_total", "spend_per_order", "order_count", "balance", "big_order",
 POOL_SQL = "('" + "', '".join(POOL) + "')"
 cte("e_pool", f"""
 SELECT f.geo_id FROM s_feats f JOIN s_univ u ON u.geo_id = f.geo_id AND u.population > 6 WHERE indicator_id IN {POOL_SQL} AND value IS NOT NULL
-GROUP BY 1 HAVING count(*) = {len(POOL)} ORDER BY md5('7|' || f.geo_id) LIMIT 2000""")
+GROUP BY 1 HAVING count(*) = {len(POOL)}""")
 cte("e_turn", "SELECT geo_id, r, md5('7|' || r || '|' || geo_id) AS h FROM e_pool, range(1, 9) t(r)")
 cte("e_pair", """
-SELECT DISTINCT a, b FROM (SELECT r, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 1000 AS bucket, arg_min(geo_id, h) AS a, arg_max(geo_id, h) AS b FROM e_turn GROUP BY 1, 2) WHERE a <> b""")
+SELECT DISTINCT a, b FROM (SELECT geo_id AS a, coalesce(lead(geo_id) OVER w, first_value(geo_id) OVER w) AS b, row_number() OVER w AS n FROM e_turn WINDOW w AS (PARTITION BY r ORDER BY h, geo_id)) WHERE n % 2 = 1 AND a <> b""")
 cte("e_both", """
 SELECT p.a, p.b, x.indicator_id AS ind, x.value AS a_raw, y.value AS b_raw, x.percentile AS a_pct, y.percentile AS b_pct, r.curve = 'lower_better' AS low, md5('7|' || p.a || '|' || p.b || '|' || x.indicator_id) AS h
 FROM e_pair p JOIN s_feats x ON x.geo_id = p.a JOIN s_feats y ON y.geo_id = p.b AND y.indicator_id = x.indicator_id JOIN s_reg r ON r.indicator_id = x.indicator_id
