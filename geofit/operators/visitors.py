@@ -177,38 +177,81 @@ def budget_flag(price: Column, cap: Column) -> Column:
 # ------------------------------------------------------------------------- a visitor's ranking
 
 
-def visitor_vector(visitors: DataFrame, weights: DataFrame, layers: DataFrame, places: DataFrame, scores: DataFrame, presets: DataFrame, layer_facts: DataFrame, climate: str) -> DataFrame:
-    """visitor_id, geo_id, slot, v, weight: what each visitor weighs at each place.
+VISITOR_BLOCKS, PLACE_SALTS = 64, 8
+
+
+def place_vectors(places: DataFrame, scores: DataFrame, factors: list[str], presets: DataFrame, layer_facts: DataFrame, layers: list[str]) -> DataFrame:
+    """geo_id, f (factor scores), cp (its county's preset scores, or null), pct and raw (facts of the layers).
+
+    places: geo_id, county_geoid; scores: geo_id, factor, d; presets: county_geoid, scores; layer_facts: geo_id, layer, pct, raw.
+    """
+    pick = lambda key, names, c: F.array(*[F.max(F.when(F.col(key) == n, F.col(c))) for n in names])
+    own = scores.groupBy("geo_id").agg(pick("factor", factors, "d").alias("f"))
+    facts = layer_facts.groupBy("geo_id").agg(pick("layer", layers, "pct").alias("pct"), pick("layer", layers, "raw").alias("raw"))
+    held = places.join(own, "geo_id", "left").join(facts, "geo_id", "left")
+    return held.join(presets.select("county_geoid", F.col("scores").alias("cp")), "county_geoid", "left").select("geo_id", "f", "cp", "pct", "raw")
+
+
+def visitor_slots(visitors: DataFrame, weights: DataFrame, layers: DataFrame, shapes: DataFrame, slots: list[str], climate: str) -> DataFrame:
+    """visitor_id, preset_index, total (weight), slots: per slot its weight, direction, target, tol, k and centre.
 
     visitors: visitor_id, preset_index (null for none); weights: visitor_id, slot, weight; layers: visitor_id, layer,
-    direction, target, tol (only layers that are on); places: geo_id, county_geoid; scores: geo_id, factor, d; presets:
-    county_geoid, scores; layer_facts: geo_id, layer, pct, raw. A visitor's preset stands in for the climate factor
-    where the county has preset scores.
+    direction, target, tol (only layers that are on); shapes: name, k, centre, where a name is a factor, `preset <i>` or
+    `<layer> <direction>`. The preset in use replaces the climate factor's shape where it has one of its own; a layer has
+    the shape of the direction chosen, or none.
+    """
+    at = F.map_from_arrays(F.array(*[F.lit(x) for x in slots]), F.array(*[F.lit(i) for i in range(len(slots))]))
+    own = weights.where((F.col("weight") > 0) & F.col("slot").isin(*slots)).join(visitors.select("visitor_id", "preset_index"), "visitor_id")
+    own = own.join(layers.withColumnRenamed("layer", "slot"), ["visitor_id", "slot"], "left")
+    preset = (F.col("slot") == climate) & F.col("preset_index").isNotNull()
+    own = own.withColumn("name", F.when(preset, F.concat(F.lit("preset "), F.col("preset_index").cast("string"))).when(F.col("direction").isNotNull(), F.concat_ws(" ", "slot", "direction")).otherwise(F.col("slot")))
+    own = own.join(shapes.select("name", F.struct("k", "centre").alias("chosen")), "name", "left").join(
+        shapes.select(F.col("name").alias("slot"), F.struct("k", "centre").alias("plain")), "slot", "left").withColumn("shape", F.coalesce("chosen", "plain"))
+    entry = F.struct(at[F.col("slot")].alias("i"), F.struct("weight", "direction", "target", "tol", F.col("shape.k").alias("k"), F.col("shape.centre").alias("centre")).alias("s"))
+    packed = own.groupBy("visitor_id").agg(F.map_from_entries(F.collect_list(entry)).alias("by"), F.sum("weight").alias("total"), F.first("preset_index").alias("preset_index"))
+    return packed.select("visitor_id", "preset_index", "total", F.transform(F.sequence(F.lit(0), F.lit(len(slots) - 1)), lambda i: F.try_element_at("by", i)).alias("slots"))
+
+
+def visitor_pairs(places: DataFrame, visitors: DataFrame, n_factors: int, n_layers: int, climate_at: int, blocks: int = VISITOR_BLOCKS, salts: int = PLACE_SALTS) -> DataFrame:
+    """visitor_id, geo_id, total, slots, v: the values that a visitor weighs at a place, by slot.
+
+    Visitors (visitor_slots) go in blocks, as one array a block; each place (place_vectors) meets each block once, by an
+    equi-join on block and salt, and its rows for the visitors unfold where they are scored. A visitor's preset stands in
+    for the climate factor where the county has preset scores.
     """
-    live = weights.where(F.col("weight") > 0)
-    base = scores.join(places, "geo_id").select("geo_id", "county_geoid", F.col("factor").alias("slot"), "d")
-    chosen = visitors.where(F.col("preset_index").isNotNull()).select("visitor_id", "preset_index")
-    plain = base.join(live, "slot").where(F.col("slot") != climate).select("visitor_id", "geo_id", "slot", F.col("d").alias("v"), "weight")
-    # Climate: one row per place and weighting visitor, the preset's score where there is one.
-    cl = places.select("geo_id", "county_geoid").join(presets, "county_geoid", "left").join(
-        base.where(F.col("slot") == climate).select("geo_id", "d"), "geo_id", "left").withColumn("slot", F.lit(climate))
-    use = F.col("preset_index").isNotNull() & F.col("scores").isNotNull()
-    climate_rows = cl.join(live, "slot").join(chosen, "visitor_id", "left").select(
-        "visitor_id", "geo_id", "slot", F.when(use, F.get("scores", F.col("preset_index"))).otherwise(F.col("d")).alias("v"), "weight")
-    on = layers.join(live.withColumnRenamed("slot", "layer"), ["visitor_id", "layer"])
-    layer_rows = layer_facts.join(on, "layer").select(
-        "visitor_id", "geo_id", F.col("layer").alias("slot"),
-        direction_value(F.col("direction"), F.col("pct"), F.col("raw"), F.col("target"), F.col("tol")).alias("v"), "weight")
-    return plain.unionByName(climate_rows).unionByName(layer_rows)
-
-
-def visitor_scores(vector: DataFrame, shapes: DataFrame, totals: DataFrame) -> DataFrame:
-    """Score and coverage per (visitor, place). shapes: visitor_id, slot, k, centre; totals: visitor_id, total_weight."""
-    v = vector.where(F.col("v").isNotNull()).select(
-        F.col("visitor_id").alias("profile_id"), "geo_id", F.col("slot").alias("domain"), "weight", F.col("v").alias("d"))
-    shape = shapes.select(F.col("visitor_id").alias("profile_id"), F.col("slot").alias("domain"), "k", "centre")
-    out = sc.combine_domains(v, shape, totals.withColumnRenamed("visitor_id", "profile_id"))
-    return out.withColumn("ok", F.col("weight_covered") >= sc.MIN_WEIGHT_COVERED).withColumnRenamed("profile_id", "visitor_id")
+    block = F.pmod(F.xxhash64("visitor_id"), F.lit(blocks)).cast("int")
+    packed = visitors.groupBy(block.alias("block")).agg(F.collect_list(F.struct("visitor_id", "preset_index", "total", "slots")).alias("who"))
+    packed = packed.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    each = places.withColumn("salt", F.pmod(F.xxhash64("geo_id"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.array(*[F.lit(i) for i in range(blocks)])))
+    met = each.join(packed, ["block", "salt"]).select("geo_id", "f", "cp", "pct", "raw", F.explode("who").alias("x"))
+    values = []
+    for i in range(n_factors):
+        own = F.get("f", F.lit(i))
+        if i == climate_at:
+            own = F.when(F.col("x.preset_index").isNotNull() & F.col("cp").isNotNull(), F.get("cp", F.col("x.preset_index"))).otherwise(own)
+        values.append(own)
+    for k in range(n_layers):
+        slot = F.get("x.slots", F.lit(n_factors + k))
+        values.append(direction_value(slot["direction"], F.get("pct", F.lit(k)), F.get("raw", F.lit(k)), slot["target"], slot["tol"]))
+    return met.select("x.visitor_id", "geo_id", "x.total", "x.slots", F.array(*values).alias("v"))
+
+
+def visitor_vector(pairs: DataFrame, slots: list[str]) -> DataFrame:
+    """visitor_id, geo_id, slot, v, weight of the slots a visitor weighs, where the place has a value."""
+    rows = pairs.select("visitor_id", "geo_id", F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in slots]).alias("slot"), F.col("v"), F.col("slots").alias("s"))).alias("z"))
+    return rows.where("z.s is not null and z.v is not null").select("visitor_id", "geo_id", "z.slot", "z.v", F.col("z.s.weight").alias("weight"))
+
+
+def visitor_scores(pairs: DataFrame, n_slots: int) -> DataFrame:
+    """visitor_id, geo_id, score, weight_covered, ok: arithmetic over the slots of a pair, no join and no grouping."""
+    held, total = F.lit(0.0), F.lit(0.0)
+    for i in range(n_slots):
+        slot, v = F.get("slots", F.lit(i)), F.get("v", F.lit(i))
+        live = slot.isNotNull() & v.isNotNull()
+        held = held + F.when(live, slot["weight"]).otherwise(0.0)
+        total = total + F.when(live, slot["weight"] * sc.shaped_log(v, slot["k"], slot["centre"])).otherwise(0.0)
+    scored = pairs.select("visitor_id", "geo_id", F.exp(total / F.nullif(held, F.lit(0.0))).alias("score"), (held / F.col("total")).alias("weight_covered"))
+    return scored.where(F.col("score").isNotNull()).withColumn("ok", F.col("weight_covered") >= sc.MIN_WEIGHT_COVERED)
 
 
 def rank_towns(scores: DataFrame, homes: DataFrame) -> DataFrame:

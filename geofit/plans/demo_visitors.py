@@ -230,9 +230,20 @@ FROM s_univ u JOIN h_w w ON w.slot = 'climate' JOIN h_vis s USING (visitor_id) L
   LEFT JOIN h_fs f ON f.geo_id = u.geo_id AND f.factor = 'climate'
 UNION ALL SELECT l.visitor_id, geo_id, layer, CASE direction WHEN 'higher' THEN pct WHEN 'lower' THEN 1 - pct ELSE exp(-pow((raw - target) / tol, 2)) END, w.weight
 FROM h_lf JOIN h_lay l USING (layer) JOIN h_w w ON w.visitor_id = l.visitor_id AND w.slot = layer""")
+# What a layer shows in each direction, and each preset, to every county and place.
+cte("h_valt", """
+SELECT 'preset ' || position AS name, d FROM h_ps UNION ALL SELECT 'preset ' || position, d FROM h_town JOIN h_ps ON h_ps.geo_id = county_geoid
+UNION ALL SELECT layer || ' higher', pct FROM h_lf WHERE pct IS NOT NULL UNION ALL SELECT layer || ' lower', 1 - pct FROM h_lf WHERE pct IS NOT NULL
+UNION ALL SELECT layer || ' even', exp(-pow((raw - 0.33) / 0.1, 2)) FROM h_lf WHERE raw IS NOT NULL""")
+cte("h_vshape", f"SELECT factor AS name, k, centre FROM h_shape UNION ALL SELECT name, k, centre FROM ({shape_sql('h_valt', 'name', target_sql('h_pub'))})")
+cte("h_vslot", """
+SELECT w.visitor_id, w.slot, CASE WHEN a.name IS NOT NULL THEN a.k ELSE b.k END AS k, CASE WHEN a.name IS NOT NULL THEN a.centre ELSE b.centre END AS centre
+FROM h_w w JOIN h_vis v USING (visitor_id) LEFT JOIN h_lay l ON l.visitor_id = w.visitor_id AND l.layer = w.slot
+  LEFT JOIN h_vshape a ON a.name = CASE WHEN w.slot = 'climate' AND v.preset_index IS NOT NULL THEN 'preset ' || v.preset_index WHEN l.direction IS NOT NULL THEN w.slot || ' ' || l.direction ELSE w.slot END
+  LEFT JOIN h_vshape b ON b.name = w.slot""")
 cte("h_vs", """
-SELECT visitor_id, v.geo_id, exp(sum(weight * CASE WHEN k IS NULL THEN ln(greatest(v, 0.01)) ELSE centre + k * (ln(greatest(v, 0.01)) - centre) END) / sum(weight)) AS score,
-  sum(weight) / any_value(total) AS cov FROM h_vec v LEFT JOIN h_shape ON factor = slot JOIN (SELECT visitor_id, sum(weight) AS total FROM h_w GROUP BY 1) USING (visitor_id) WHERE v IS NOT NULL GROUP BY 1, 2""")
+SELECT visitor_id, v.geo_id, exp(sum(weight * CASE WHEN k IS NULL OR k = 1 THEN ln(greatest(v, 0.01)) ELSE centre + k * (ln(greatest(v, 0.01)) - centre) END) / sum(weight)) AS score,
+  sum(weight) / any_value(total) AS cov FROM h_vec v LEFT JOIN h_vslot USING (visitor_id, slot) JOIN (SELECT visitor_id, sum(weight) AS total FROM h_w GROUP BY 1) USING (visitor_id) WHERE v IS NOT NULL GROUP BY 1, 2""")
 cte("h_ok", "SELECT visitor_id, geo_id, score FROM h_vs WHERE cov >= 0.8")
 
 
@@ -256,35 +267,44 @@ def visitor_layers(spark, sf):
     return visitors(spark, sf).select("visitor_id", "k", lay.alias("l")).select("visitor_id", "l.layer", F.when(m == 0, "higher").when(m == 1, "lower").otherwise("even").alias("direction"), F.lit(0.33).alias("target"), F.lit(0.1).alias("tol"))
 
 
-def visitor_stage(spark, sf):
-    """(vector, scores) for every visitor over counties and places."""
+def visitor_pairs(spark, sf):
+    """Every visitor at every county and place, with the values that each weighs there."""
     f, u = base.features(spark, sf), base.universe(spark, sf)
     fs = cut(factor_scores(spark, sf, f))
     at = u.select("geo_id", "county_geoid")
     own = f.where("indicator_id = 'open_share'").select("geo_id", F.lit("open").alias("layer"), F.col("percentile").alias("pct"), F.col("value").alias("raw"))
     county = f.where("indicator_id = 'nation_open'").select(F.col("geo_id").alias("county_geoid"), F.lit("nopen").alias("layer"), F.col("percentile").alias("pct"), F.col("value").alias("raw"))
     facts = own.unionByName(at.join(county, "county_geoid").select("geo_id", "layer", "pct", "raw"))
-    w = visitor_weights(spark, sf)
-    vec = vis.visitor_vector(visitors(spark, sf), w, visitor_layers(spark, sf), at, fs.select("geo_id", "factor", "d"),
-                             preset_scores(spark, f).withColumnRenamed("geo_id", "county_geoid"), facts, "climate")
-    shape = vis.factor_shape(fs, public(spark)).withColumnRenamed("factor", "slot")
-    shapes = w.where("weight > 0").select("visitor_id", "slot").join(shape, "slot")
-    totals = w.where("weight > 0").groupBy("visitor_id").agg(F.sum("weight").alias("total_weight"))
-    return vec, vis.visitor_scores(vec, shapes, totals)
+    presets = cut(preset_scores(spark, f).withColumnRenamed("geo_id", "county_geoid"))
+
+    # Shapes: of the public factors, and of each preset and layer direction as every county and place shows it.
+    by_preset = presets.select("county_geoid", F.posexplode("scores").alias("i", "d")).select("county_geoid", F.concat(F.lit("preset "), src.text("i")).alias("name"), "d")
+    towns = u.where("geo_level = 'place'").select("county_geoid")
+    ways = [F.struct(F.concat_ws(" ", "layer", F.lit(way)).alias("name"), vis.direction_value(F.lit(way), F.col("pct"), F.col("raw"), F.lit(0.33), F.lit(0.1)).alias("d")) for way in ("higher", "lower", "even")]
+    alternatives = by_preset.select("name", "d").unionByName(towns.join(by_preset, "county_geoid").select("name", "d")).unionByName(facts.select(F.inline(F.array(*ways))))
+    shapes = vis.factor_shape(fs, public(spark)).withColumnRenamed("factor", "name").unionByName(vis.alternative_shapes(alternatives, vis.shared_target(fs, public(spark))))
+
+    places = vis.place_vectors(at, fs.select("geo_id", "factor", "d"), PUBLIC, presets, facts, ["open", "nopen"])
+    slots = vis.visitor_slots(visitors(spark, sf), visitor_weights(spark, sf), visitor_layers(spark, sf), shapes, SLOTS, "climate")
+    return vis.visitor_pairs(places, slots, len(PUBLIC), 2, PUBLIC.index("climate"))
+
+
+def visitor_scores(spark, sf):
+    return vis.visitor_scores(visitor_pairs(spark, sf), len(SLOTS))
 
 
-@query("h9_visitor_vector", "SELECT visitor_id, geo_id, slot, round(v, 6) AS v, weight FROM h_vec")
+@query("h9_visitor_vector", "SELECT visitor_id, geo_id, slot, round(v, 6) AS v, weight FROM h_vec WHERE v IS NOT NULL")
 def h9(spark, sf):
-    return r6(visitor_stage(spark, sf)[0], "v")
+    return r6(vis.visitor_vector(visitor_pairs(spark, sf), SLOTS), "v")
 
 
 @query("h9_visitor_scores", "SELECT visitor_id, geo_id, round(score, 6) AS score, cov >= 0.8 AS ok FROM h_vs")
 def h9_scores(spark, sf):
-    return r6(visitor_stage(spark, sf)[1].select("visitor_id", "geo_id", "score", "ok"), "score")
+    return r6(visitor_scores(spark, sf).select("visitor_id", "geo_id", "score", "ok"), "score")
 
 
 def town_scores(spark, sf):
-    return cut(visitor_stage(spark, sf)[1].where(F.length("geo_id") == 9))
+    return cut(visitor_scores(spark, sf).where(F.length("geo_id") == 9))
 
 
 cte("h_tok", "SELECT o.*, geo_id = home AS is_home FROM h_ok o JOIN h_vis USING (visitor_id) WHERE length(geo_id) = 9")
@@ -305,7 +325,7 @@ FROM (SELECT visitor_id, geo_id AS county_geoid, score FROM h_ok WHERE length(ge
   SELECT o.visitor_id, p.county_geoid, arg_min(o.geo_id, struct_pack(s := -o.score, g := o.geo_id)) AS town FROM h_ok o JOIN h_price p USING (geo_id) JOIN h_vis v USING (visitor_id)
   WHERE NOT (budget_only AND coalesce(price > cap, false)) GROUP BY 1, 2) USING (visitor_id, county_geoid) WHERE county_geoid <> home_county QUALIFY n <= 8""")
 def h11(spark, sf):
-    s = cut(visitor_stage(spark, sf)[1])
+    s = cut(visitor_scores(spark, sf))
     out = vis.challengers(s.where(F.length("geo_id") == 5), s.where(F.length("geo_id") == 9), prices(spark, sf).select("geo_id", "county_geoid", "price"),
                           visitors(spark, sf).select("visitor_id", "home_county", "cap", "budget_only"))
     return out.select("visitor_id", "county_geoid", "town", "n")

@@ -15,3 +15,52 @@ def test_regrouping_faults_are_named(spark):
         ("public weights do not sum to 100", "90.0"), ("public factor without weight", "g"),
         ("weight for a factor that is not public", "own"), ("layer is not a sensitive indicator", "l2"),
     }
+
+
+def test_visitor_blocks_match_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    value = lambda: None if rng.random() < 0.2 else rng.random()
+    factors, layers = ["cost", "climate"], ["open"]
+    slots = factors + layers
+    places = [(f"g{i}", f"c{i % 7}") for i in range(40)]
+    d = {(g, f): v for g, _ in places for f in factors if (v := value()) is not None}
+    cp = {f"c{i}": [value(), value()] for i in range(6)}  # one county has no preset scores
+    facts = {g: (value(), value()) for g, _ in places if rng.random() < 0.8}
+    who = [(f"v{i}", rng.choice([None, 0, 1])) for i in range(30)]
+    weights = {(v, s): float(rng.choice([0, 1, 5, 9])) for v, _ in who for s in slots}
+    ways = {v: rng.choice(["higher", "lower", "even"]) for v, _ in who if rng.random() < 0.8}
+    shapes = {"cost": (1.2, -0.5), "climate": (0.8, -0.4), "preset 1": (2.0, -0.2), "open higher": (1.5, -0.9)}
+    lf = lambda rows, schema: local_frame(spark, rows, schema)
+    vecs = vis.place_vectors(
+        lf(places, "geo_id string, county_geoid string"), lf([(g, f, v) for (g, f), v in d.items()], "geo_id string, factor string, d double"), factors,
+        lf(list(cp.items()), "county_geoid string, scores array<double>"), lf([(g, "open", *x) for g, x in facts.items()], "geo_id string, layer string, pct double, raw double"), layers)
+    packed = vis.visitor_slots(
+        lf(who, "visitor_id string, preset_index int"), lf([(v, s, w if s != "open" or v in ways else 0.0) for (v, s), w in weights.items()], "visitor_id string, slot string, weight double"),
+        lf([(v, "open", w, 0.5, 0.2) for v, w in ways.items()], "visitor_id string, layer string, direction string, target double, tol double"),
+        lf([(n, *x) for n, x in shapes.items()], "name string, k double, centre double"), slots, "climate")
+    want = {}
+    for v, preset in who:
+        own = {s: weights[v, s] for s in slots if weights[v, s] > 0 and (s != "open" or v in ways)}
+        for g, c in places:
+            held = total = 0.0
+            for s, w in own.items():
+                if s == "open":
+                    pct, raw = facts.get(g, (None, None))
+                    x = {"higher": pct, "lower": None if pct is None else 1 - pct, "even": None if raw is None else math.exp(-(((raw - 0.5) / 0.2) ** 2))}[ways[v]]
+                    shape = shapes.get(f"open {ways[v]}")
+                elif s == "climate" and preset is not None:
+                    x, shape = cp[c][preset] if c in cp else d.get((g, s)), shapes.get(f"preset {preset}", shapes["climate"])
+                else:
+                    x, shape = d.get((g, s)), shapes[s]
+                if x is not None:
+                    lg = math.log(max(x, 0.01))
+                    held += w
+                    total += w * (lg if shape is None else shape[1] + shape[0] * (lg - shape[1]))
+            if held:
+                want[v, g] = (round(math.exp(total / held), 9), held / sum(own.values()) >= 0.8)
+    for blocks, salts in ((64, 8), (3, 2)):
+        scored = vis.visitor_scores(vis.visitor_pairs(vecs, packed, 2, 1, 1, blocks, salts), 3)
+        assert {(r.visitor_id, r.geo_id): (round(r.score, 9), r.ok) for r in scored.collect()} == want
