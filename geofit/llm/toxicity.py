@@ -12,7 +12,9 @@ toxic ones; inside such a phrase the term does not count. One Aho-Corasick autom
 (and PRIOR_WORDS more, so that a single word of a short text does not decide) goes through a logistic curve, which is
 fitted to documents scored by the lexicon of the other half of the learning documents.
 
-Document counts are sums over all labelled documents, added up in each task and then by Spark. The model is the
+At most MOST_LABELS labelled documents, drawn by the hash of their ids, are learnt from: the list of their ids is the one
+table that is broadcast, so that no text is moved to meet its label. Document counts are sums over all of them, added up
+in each task and then by Spark. The model is the
 LEXICON_TERMS strongest terms and as many phrases at most, so it is small and broadcast; scoring shuffles nothing.
 
 Null and empty texts have no words and the curve's lowest score. Labels of one document are one label, toxic if any is;
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 from geofit.llm.common import Scratch, map_arrow
 
 LEXICON_TERMS = 20_000
+#: Labelled documents that are learnt from, at most; 16 bytes each.
+MOST_LABELS = 50_000
 LEAST_WEIGHT = 1.0
 DOUBT = 1.5
 #: Letters of a stem.
@@ -137,9 +141,10 @@ def _weight(a: Column, n: Column, toxic: int, clean: int) -> Column:
     return odds - DOUBT * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """words (folded, by spaces), toxic and half of each labelled document."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """words (folded, by spaces), toxic and half of `most` labelled documents."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id").select("text", "toxic")
     schema = pa.schema([("words", pa.string()), ("toxic", pa.int32())])
 
@@ -235,10 +240,10 @@ def _fit(folded: DataFrame, halves: list[Lexicon], whole: Lexicon) -> None:
     whole.slope, whole.bias = max(0.0, float(beta[0])), float(beta[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = None, most: int = LEXICON_TERMS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = None, most: int = LEXICON_TERMS, most_labels: int = MOST_LABELS) -> Lexicon:
     """The lexicon of docs (doc_id, text) labelled by labels (doc_id, toxic); `exceptions` (texts) add to those learnt."""
     scratch = Scratch(docs.sparkSession)
-    folded = scratch.put("folded", _labelled(docs, labels))
+    folded = scratch.put("folded", _labelled(docs, labels, most_labels))
     held = {(r.half, r.toxic): r["count"] for r in folded.groupBy("half", "toxic").count().collect()}
     size = lambda toxic, *halves: sum(held.get((h, toxic), 0) for h in halves)
     counts = scratch.put("terms", _counted(folded, keys_of))
