@@ -226,13 +226,81 @@ def _words(c) -> Column:
     return F.filter(F.split(c, f"[^{WORD}]+"), lambda t: t != "")
 
 
-def leak_scan(texts: DataFrame, universe: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+#: Names, codes and ids that are shipped to the tasks as one trie, in bytes; more are met by a join.
+TRIE_BYTES = 32 << 20
+
+
+def leak_scan(texts: DataFrame, universe: DataFrame, numbers: DataFrame | None = None, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """Anything in the texts that gives a place away: doc_id, kind, key.
 
-    texts: doc_id, text. Word sequences of the texts meet the words of the names in an equi-join;
-    a hit counts if the name itself, punctuation included, stands in the text as whole words.
-    numbers (doc_id, value) finds ids stored as numbers.
+    texts: doc_id, text. A hit counts if the name itself, punctuation included, stands in the text as whole words. The
+    names' words make a trie, which each text is read against once; the result's `distinct` is the only exchange. Where
+    the universe is too large to ship, runs of words meet the names in a join instead. numbers (doc_id, value) finds ids
+    stored as numbers.
     """
+    keys = universe.select(
+        F.when(F.length(match_stem("name")) >= MIN_STEM, match_stem("name")).alias("stem"), F.nullif("state_usps", F.lit("")).alias("code"), F.col("geo_id").alias("id"))
+    kinds = keys.select(F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("key")) for c in ("stem", "code", "id")]))).where("key is not null").distinct()
+    size = kinds.agg(F.sum(F.octet_length("key") + 16)).first()[0] or 0
+    if size > trie_bytes:
+        return _leaks_by_join(texts, universe, numbers)
+    held: dict[str, list[str]] = {"stem": [], "code": [], "id": []}
+    for r in kinds.collect():
+        held[r["kind"]].append(r["key"])
+    shipped = texts.sparkSession.sparkContext.broadcast(held)
+    out = texts.select("doc_id", "text").mapInArrow(_trie_reader(shipped), "doc_id " + texts.schema["doc_id"].dataType.simpleString() + ", kind string, key string")
+    if numbers is not None:
+        as_number = kinds.where("kind = 'id'").select(F.col("key").try_cast("double").alias("value"), "key").where("value is not null")
+        out = out.unionByName(numbers.select("doc_id", "value").join(as_number, "value").select("doc_id", F.lit("id").alias("kind"), "key"))
+    return out.distinct()
+
+
+def _trie_reader(shipped):
+    """A task's work: all names, codes and ids of the broadcast that stand in each text."""
+    def read(batches):
+        import pyarrow as pa
+        import regex
+
+        word = regex.compile(r"[\p{L}\p{N}_]+")
+        root: dict = {}
+        for stem in shipped.value["stem"]:
+            places = [m.span() for m in word.finditer(stem)]
+            node = root
+            for a, b in places:
+                node = node.setdefault(stem[a:b], {})
+            if places:
+                node.setdefault(None, []).append((stem, places[0][0]))
+        codes, ids = set(shipped.value["code"]), set(shipped.value["id"])
+        is_word = lambda text, at: 0 <= at < len(text) and word.match(text[at]) is not None
+        for batch in batches:
+            docs, kinds, keys = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found = set()
+                spans = [m.span() for m in word.finditer(text or "")]
+                words = [text[a:b] for a, b in spans]
+                for i, w in enumerate(words):
+                    if w in codes:
+                        found.add(("state code", w))
+                    if 5 <= len(w) <= 10 and w.isascii() and w.isdigit() and w in ids:
+                        found.add(("id", w))
+                    node, j = root.get(w), i + 1
+                    while node is not None:
+                        for stem, lead in node.get(None, ()):
+                            at = spans[i][0] - lead
+                            if at >= 0 and text.startswith(stem, at) and not is_word(text, at - 1) and not is_word(text, at + len(stem)):
+                                found.add(("place name", stem))
+                        node, j = node.get(words[j]) if j < len(words) else None, j + 1
+                for kind, key in found:
+                    docs.append(row)
+                    kinds.append(kind)
+                    keys.append(key)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(kinds, pa.string()), pa.array(keys, pa.string())], names=["doc_id", "kind", "key"])
+
+    return read
+
+
+def _leaks_by_join(texts: DataFrame, universe: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """leak_scan for a universe of any size: runs of words meet the names in an equi-join."""
     stems = universe.select(match_stem("name").alias("stem")).where(F.length("stem") >= MIN_STEM).distinct().withColumn("w", _words("stem"))
     stems = stems.select("stem", F.array_join("w", " ").alias("gram"), F.size("w").alias("n")).where("n > 0")
     # How many words the names have (a handful of lengths) decides which runs of words to form.
