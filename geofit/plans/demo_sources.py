@@ -300,15 +300,16 @@ def b14(spark, sf):
 
 
 def homes(spark, sf):
-    """One home for each five last digits of customers' numbers: the least number's."""
+    """One home for each five last digits of customers' numbers, at the mean of their places."""
     k = F.col("c_custkey")
-    return table(spark, sf, "customer").groupBy(k % 100000).agg(F.min(k).alias("c_custkey")).select(F.lpad(text(k % 100000), 5, "0").alias("geo_id"), F.round(35 + (k * 29 % 400) / 100, 2).alias("lat"),
-                                               F.round(-90 + (k * 41 % 700) / 100, 2).alias("lon"))
+    mean = lambda base, step, span: F.sum(base + k * step % span) / F.count(k) / 100
+    return table(spark, sf, "customer").groupBy((k % 100000).alias("code")).agg(mean(3500, 29, 400).alias("lat"), mean(-9000, 41, 700).alias("lon")).select(
+        F.lpad(text("code"), 5, "0").alias("geo_id"), "lat", "lon")
 
 
 cte("b_home", """
-SELECT lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS geo_id, round(35 + (c_custkey * 29 % 400) / 100.0, 2)::DOUBLE AS lat,
-  round(-90 + (c_custkey * 41 % 700) / 100.0, 2)::DOUBLE AS lon FROM (SELECT min(c_custkey) AS c_custkey FROM customer GROUP BY c_custkey % 100000)""")
+SELECT lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS geo_id, sum(3500 + c_custkey * 29 % 400) / count(*) / 100 AS lat, sum(-9000 + c_custkey * 41 % 700) / count(*) / 100 AS lon
+FROM customer GROUP BY c_custkey % 100000""")
 cte("b_near", f"""
 SELECT h.geo_id, s.indicator_id, s.value, {du.hav('h.lat', 'h.lon', 's.lat', 's.lon')} AS miles, s.station_id FROM b_home h, b_sta s
 WHERE {du.hav('h.lat', 'h.lon', 's.lat', 's.lon')} <= 75 QUALIFY row_number() OVER (PARTITION BY h.geo_id, s.indicator_id ORDER BY miles, s.station_id) <= 5""")

@@ -4,8 +4,8 @@ Roles: supplier is the coarse unit (county), customer the fine one (place), nati
 order value is population and the sales between a customer and a supplier are their overlap.
 
 Keys have fixed widths, rows have not: suppliers of a nation whose numbers end in the same three digits are one county,
-customers of a nation whose numbers end in the same five digits one place. Populations, sales and line sums add up. The
-least number gives the name, the coordinates and what its own row holds; the other rows' balances are left out, as in the SQL.
+customers of a nation whose numbers end in the same five digits one place. Populations, sales and line sums add up, and a
+unit's balance is the mean of all its rows, in whole cents. The least number gives the name, the coordinates and the segment.
 """
 
 from __future__ import annotations
@@ -40,18 +40,23 @@ def place_code(nation="c_nationkey", number="c_custkey"):
     return ((F.col(nation) + 1) * 100000 + F.col(number) % 100000).cast("string")
 
 
+def mean_balance(balance):
+    """Of all rows of a unit; cents add up without rounding."""
+    return (F.sum(F.round(F.col(balance) * 100).cast("bigint")) / F.count(balance) / 100).alias(balance)
+
+
 def county_rows(spark, sf):
-    """The supplier that names each county."""
+    """Each county: the number, name and place of its first supplier, the mean balance of all."""
     s = table(spark, sf, "supplier")
     return s.groupBy("s_nationkey", (F.col("s_suppkey") % 1000).alias("code")).agg(
-        F.min_by(F.struct("s_suppkey", "s_name", "s_acctbal"), "s_suppkey").alias("first")).select("s_nationkey", "first.*")
+        F.min("s_suppkey").alias("s_suppkey"), F.min_by("s_name", "s_suppkey").alias("s_name"), mean_balance("s_acctbal")).drop("code")
 
 
 def place_rows(spark, sf):
-    """The customer that names each place."""
+    """Each place: the number, name and segment of its first customer, the mean balance of all."""
     c = table(spark, sf, "customer")
     return c.groupBy("c_nationkey", (F.col("c_custkey") % 100000).alias("code")).agg(
-        F.min_by(F.struct("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "c_custkey").alias("first")).select("c_nationkey", "first.*")
+        F.min("c_custkey").alias("c_custkey"), F.min_by("c_name", "c_custkey").alias("c_name"), F.min_by("c_mktsegment", "c_custkey").alias("c_mktsegment"), mean_balance("c_acctbal")).drop("code")
 
 
 def gaz_counties(spark, sf):
@@ -129,8 +134,11 @@ def full_universe(spark, sf):
 
 STATE_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in keys.STATE_USPS.items())
 cte("states", f"SELECT * FROM (VALUES {STATE_VALUES}) AS t(code, usps)")
-cte("sup1", "SELECT * FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 1000 ORDER BY s_suppkey) = 1")
-cte("cus1", "SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey, c_custkey % 100000 ORDER BY c_custkey) = 1")
+MEAN_BALANCE = "sum(CAST(round({0} * 100) AS BIGINT)) / count({0}) / 100 AS {0}"
+cte("sup1", f"SELECT s_nationkey, min(s_suppkey) AS s_suppkey, arg_min(s_name, s_suppkey) AS s_name, {MEAN_BALANCE.format('s_acctbal')} FROM supplier GROUP BY s_nationkey, s_suppkey % 1000")
+cte("cus1", f"""
+SELECT c_nationkey, min(c_custkey) AS c_custkey, arg_min(c_name, c_custkey) AS c_name, arg_min(c_mktsegment, c_custkey) AS c_mktsegment, {MEAN_BALANCE.format('c_acctbal')}
+FROM customer GROUP BY c_nationkey, c_custkey % 100000""")
 cte("gaz_c", """
 SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS geo_id, s_name AS name, s_suppkey AS k,
   abs(s_acctbal) AS land_sqmi,
