@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,7 +158,8 @@ def _merged(runs: DataFrame, schema: pa.Schema, ddl: str, make: Callable[[list[d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out = [], []
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one row's lists at a time, as a batch of runs is large
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 if held and held[0]["bucket"] != row["bucket"]:
                     out += make(held)
                     held = []
@@ -356,7 +358,7 @@ def cut(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, found in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "ranges")]):
+            for doc_id, text, found in ((batch.column(c)[i].as_py() for c in ("doc_id", "text", "ranges")) for i in range(batch.num_rows)):
                 raw, gone = (text or "").encode("utf-8"), _union(found)
                 kept = hashlib.sha256(_without(raw, gone)).hexdigest()
                 out.append({"doc_id": doc_id, "n_bytes": len(raw), "n_removed": sum(b - a for a, b in gone), "n_spans": len(gone), "kept_sha256": kept})
@@ -396,7 +398,7 @@ def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, ...] = [], [], [], []
         for batch in batches:
-            for rid, text, found in zip(*[batch.column(c).to_pylist() for c in ("rid", "text", "ranges")]):
+            for rid, text, found in ((batch.column(c)[i].as_py() for c in ("rid", "text", "ranges")) for i in range(batch.num_rows)):
                 raw, (starts, ends) = text.encode("utf-8"), word_places(text)
                 for a, b in _union(found):
                     first, last = np.searchsorted(starts, a), np.searchsorted(ends, b, side="right")
@@ -439,11 +441,11 @@ def _strip(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None or not r else _without(t.encode("utf-8"), _union(r)).decode("utf-8", "ignore") for t, r in zip(batch.column(at).to_pylist(), batch.column(found).to_pylist())]
             columns = list(batch.columns)[:found]
-            columns[at] = pa.array(texts, pa.string())
+            left = lambda t, r: t if t is None or not r else _without(t.encode("utf-8"), _union(r)).decode("utf-8", "ignore")
+            columns[at] = pa.array((left(batch.column(at)[i].as_py(), batch.column(found)[i].as_py()) for i in range(batch.num_rows)), pa.string())
             if "n_chars" in names:
-                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                columns[names.index("n_chars")] = pc.utf8_length(columns[at]).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_arrow(joined, run, out)
