@@ -14,7 +14,7 @@ from geofit.operators.lineage import cut
 from geofit.operators.ordering import average_rank, exact_quantiles, top_k
 from geofit.operators.registry import Profiles
 from geofit.operators.scoring import ranking, score
-from geofit.sources.normalise import month_columns, num
+from geofit.sources.normalise import num, with_newest
 
 # ------------------------------------------------------------------------- popularity
 
@@ -22,16 +22,14 @@ MIN_POPULATION = 1_000
 SHRINK = 50_000
 
 
-def appreciation(raw: DataFrame, years: int = 5) -> DataFrame:
-    """Price change from `years` before the newest month to it; both months must be there."""
-    months = month_columns(raw.columns)
-    if len(months) < years * 12 + 1:
-        return raw.select(F.lit("").alias("geo_id"), F.lit(0.0).alias("appreciation")).limit(0)
-    now, then = num(months[-1]), num(months[-(years * 12 + 1)])
-    return raw.select(
-        county_key("statecodefips", "municipalcodefips").alias("geo_id"),
-        F.when(then > 0, (now - then) / then).alias("appreciation"),
-    ).where(F.col("appreciation").isNotNull() & F.col("geo_id").isNotNull())
+def appreciation(series: DataFrame, years: int = 5) -> DataFrame:
+    """Price change from `years` before the newest month to it, of series (statecodefips, municipalcodefips, month, value);
+    a county must have both months."""
+    v = num("value")
+    on = lambda day: F.max(F.when(F.col("at") == day, v))
+    keyed = with_newest(series).withColumn("geo_id", county_key("statecodefips", "municipalcodefips")).where(F.col("geo_id").isNotNull())
+    both = keyed.groupBy("geo_id").agg(on(F.col("newest")).alias("now"), on(F.add_months("newest", -12 * years)).alias("then"))
+    return both.where((F.col("then") > 0) & F.col("now").isNotNull()).select("geo_id", ((F.col("now") - F.col("then")) / F.col("then")).alias("appreciation"))
 
 
 def hype_index(universe: DataFrame, migration: DataFrame, prices: DataFrame) -> DataFrame:

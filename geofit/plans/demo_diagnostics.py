@@ -59,16 +59,12 @@ def c9(spark, sf):
 # ------------------------------------------------------------------------- F1-F5
 
 def price_months(spark, sf):
-    lines = src.lines(spark, sf)
-    months = src.months_of(lines)
-    month = F.concat(F.date_format("l_shipdate", "yyyy-MM"), F.lit("-28"))
-    cells = [F.coalesce(src.text(F.sum(F.when(month == m, F.col("l_quantity")))), F.lit("")).alias(m) for m in months]
-    return lines.groupBy("st", "co").agg(*cells).toDF("statecodefips", "municipalcodefips", *months)
+    return src.monthly(src.lines(spark, sf), ["st", "co"], ["statecodefips", "municipalcodefips"], F.sum("l_quantity"))
 
 
-cte("f_app", """
+cte("f_app", f"""
 SELECT geo_id, (b - a) / a AS appreciation FROM (SELECT lpad(CAST((s_nationkey + 1) * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS geo_id,
-  sum(l_quantity) FILTER (strftime(l_shipdate, '%Y-%m') = '1996-11') AS a, sum(l_quantity) FILTER (strftime(l_shipdate, '%Y-%m') = '2001-11') AS b
+  sum(l_quantity) FILTER (date_trunc('month', l_shipdate) = {src.MONTHS_BACK(60)}) AS a, sum(l_quantity) FILTER (date_trunc('month', l_shipdate) = {src.MONTHS_BACK(0)}) AS b
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) WHERE a > 0 AND b IS NOT NULL""")
 
 

@@ -526,34 +526,24 @@ def b29_rejects(spark, sf):
 
 # ------------------------------------------------------------------------- B30-B33
 
-MONTHS = [f"{1995 + m // 12}-{m % 12 + 1:02d}-28" for m in range(83)]
 
+def monthly(li, by, names, value):
+    """A value per key and month of shipping, as a series of text cells; a month without one is blank."""
+    month = F.concat(F.date_format("l_shipdate", "yyyy-MM"), F.lit("-28")).alias("month")
+    return li.groupBy(*by, month).agg(F.coalesce(text(value), F.lit("")).alias("value")).toDF(*names, "month", "value")
 
-def months_of(li):
-    """The 28th of each month from the first to the last shipping date of the data; without any, MONTHS as in the SQL."""
-    month = F.date_format("l_shipdate", "yyyy-MM")
-    first, last = li.agg(F.min(month), F.max(month)).first()
-    if first is None:
-        return MONTHS
-    a, b = (int(m[:4]) * 12 + int(m[5:]) - 1 for m in (first, last))
-    return [f"{m // 12}-{m % 12 + 1:02d}-28" for m in range(a, b + 1)]
 
+#: Prices are those of returned lines.
+RETURNED = lambda: F.max(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")))
+MONTHS_BACK = lambda n: f"(SELECT date_trunc('month', max(l_shipdate)) - INTERVAL {n} MONTH FROM lineitem)"
+LATEST_SQL = f"""arg_max(l_extendedprice, struct_pack(m := date_trunc('month', l_shipdate), p := l_extendedprice))
+  FILTER (l_returnflag = 'R' AND date_trunc('month', l_shipdate) > {MONTHS_BACK(12)})"""
 
-def monthly(li, by, names):
-    """Returned lines per key and month as a wide text table, one column per month of the data."""
-    months = months_of(li)
-    month = F.concat(F.date_format("l_shipdate", "yyyy-MM"), F.lit("-28"))
-    cell = lambda m: F.max(F.when((month == m) & (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 44), F.col("l_extendedprice")))
-    return li.groupBy(*by).agg(*[F.coalesce(text(cell(m)), F.lit("")).alias(m) for m in months]).toDF(*names, *months)
 
-
-def latest_sql(months):
-    return "coalesce(" + ", ".join(f"max(l_extendedprice) FILTER (strftime(l_shipdate, '%Y-%m') = '{m[:7]}' AND l_returnflag = 'R' AND l_quantity > 44)" for m in reversed(months)) + ")"
-
-
-@query("b30_latest_within_window", county("cost_home_value_median", latest_sql(MONTHS[-12:]), "b_line", "GROUP BY geo_id"))
+@query("b30_latest_within_window", county("cost_home_value_median", LATEST_SQL, "b_line", "GROUP BY geo_id"))
 def b30(spark, sf):
-    return emitted(spark, no.home_values(monthly(lines(spark, sf), ["st", "co"], ["statecodefips", "municipalcodefips"]), "cost_home_value_median"))
+    series = monthly(lines(spark, sf), ["st", "co"], ["statecodefips", "municipalcodefips"], RETURNED())
+    return emitted(spark, no.home_values(series, "cost_home_value_median"))
 
 
 @query("b31_amenity_scale", "\nUNION ALL ".join([county("env_natural_amenities", "CASE WHEN k % 6 <> 2 THEN s_acctbal END"), county("env_water_area_share", "(k % 100) / 100.0"), county("env_topographic_variation", "k % 21")]))
@@ -586,11 +576,10 @@ def b32(spark, sf):
 
 def zips(spark, sf):
     li = table(spark, sf, "lineitem")
-    wide = monthly(li.withColumn("z", text(F.col("l_partkey") % 99999)), ["z"], ["regionname"])
-    return wide.withColumn("state", F.lit("PA"))
+    return monthly(li.withColumn("z", text(F.col("l_partkey") % 99999)), ["z"], ["regionname"], RETURNED()).withColumn("state", F.lit("PA"))
 
 
-cte("b_zip", f"SELECT lpad(CAST(l_partkey % 99999 AS VARCHAR), 5, '0') AS zcta, {latest_sql(MONTHS[-12:])} AS value FROM lineitem GROUP BY 1")
+cte("b_zip", f"SELECT lpad(CAST(l_partkey % 99999 AS VARCHAR), 5, '0') AS zcta, {LATEST_SQL} AS value FROM lineitem GROUP BY 1")
 
 
 @query("b33_zip_values", "SELECT zcta, 'PA' AS state, round(value, 6) AS value FROM b_zip WHERE value IS NOT NULL")

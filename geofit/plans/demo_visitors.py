@@ -105,19 +105,19 @@ def h4(spark, sf):
 
 
 cte("h_area", """
-SELECT place, sum(part * value) / sum(part) FILTER (value IS NOT NULL) AS value, least(1, sum(part) FILTER (value IS NOT NULL) / max(place_land)) AS share
+SELECT place, sum(part * CAST(round(value * 100) AS BIGINT)) / sum(part) FILTER (value IS NOT NULL) / 100 AS value, least(1, sum(part) FILTER (value IS NOT NULL) / max(place_land)) AS share
 FROM b_over LEFT JOIN b_zip USING (zcta) WHERE place IN (SELECT geo_id FROM s_univ) GROUP BY 1 HAVING sum(part) FILTER (value IS NOT NULL) / max(place_land) >= 0.05""")
 
 
 def town_prices(spark, sf):
-    return vis.areal_interpolation(no.zip_place_overlap(src.overlap(spark, sf)), no.zip_values(src.zips(spark, sf)), base.universe(spark, sf), 0.05)
+    """Prices are averaged in cents, whose land-weighted sums are exact."""
+    cents = no.zip_values(src.zips(spark, sf)).withColumn("value", F.round(F.col("value") * 100))
+    return vis.areal_interpolation(no.zip_place_overlap(src.overlap(spark, sf)), cents, base.universe(spark, sf), 0.05).withColumn("value", F.col("value") / 100)
 
 
-@query("h5_areal_interpolation", "SELECT place, round(value + 1e-7, 4) AS value, round(share, 6) AS share FROM h_area")
+@query("h5_areal_interpolation", "SELECT place, round(value, 4) AS value, round(share, 6) AS share FROM h_area")
 def h5(spark, sf):
-    # A hair is added before rounding: land-weighted prices often fall on an exact half.
-    out = r6(town_prices(spark, sf).withColumn("value", F.col("value") + 1e-7), "value", places=4)
-    return r6(out, "share")
+    return r6(r6(town_prices(spark, sf), "value", places=4), "share")
 
 
 def shape_sql(rows, key, target):
@@ -207,10 +207,10 @@ def prices(spark, sf):
     return vis.price_fallback(towns.join(own, "geo_id", "left"), fallback)
 
 
-@query("h8_price_fallback", "SELECT geo_id, round(price + 1e-7, 4) AS price, price_source, CASE WHEN price IS NULL THEN 'unk' WHEN price <= 60000 THEN 'ok' ELSE 'over' END AS budget FROM h_price")
+@query("h8_price_fallback", "SELECT geo_id, round(price, 4) AS price, price_source, CASE WHEN price IS NULL THEN 'unk' WHEN price <= 60000 THEN 'ok' ELSE 'over' END AS budget FROM h_price")
 def h8(spark, sf):
     out = prices(spark, sf).withColumn("budget", vis.budget_flag(F.col("price"), F.lit(60000.0)))
-    return r6(out.select("geo_id", (F.col("price") + 1e-7).alias("price"), "price_source", "budget"), "price", places=4)
+    return r6(out.select("geo_id", "price", "price_source", "budget"), "price", places=4)
 
 
 SLOTS = PUBLIC + ["open", "nopen"]

@@ -42,9 +42,24 @@ def month_columns(columns) -> list[str]:
     return [c for c in columns if len(c) == 10 and c[4] == "-" and c[:4].isdigit()]
 
 
-def latest_within(columns: list[str], window: int = 12) -> Column:
-    """Newest readable value in the last `window` columns; an unreadable cell is skipped."""
-    return F.coalesce(*[num(c) for c in list(reversed(columns))[:window]])
+def melt_months(wide: DataFrame) -> DataFrame:
+    """A file with one column per month in long form: its other columns, month (2024-06-30), value (text)."""
+    months = month_columns(wide.columns)
+    cells = F.array(*[F.struct(F.lit(m).alias("month"), F.col(m).alias("value")) for m in months])
+    return wide.select(*[c for c in wide.columns if c not in months], F.inline(cells))
+
+
+def with_newest(series: DataFrame) -> DataFrame:
+    """series (month, ...) with `at` (first day of the month) and `newest`, that of the last month anywhere in it."""
+    at = series.withColumn("at", F.trunc(F.to_date("month"), "month")).withColumn("__k", F.lit(1))
+    return at.join(at.agg(F.max("at").alias("newest")).withColumn("__k", F.lit(1)), "__k").drop("__k")
+
+
+def latest_within(series: DataFrame, by: list[str], window: int = 12) -> DataFrame:
+    """by, value: the newest readable value of the last `window` months of the file; null where there is none."""
+    v = num("value")
+    inside = v.isNotNull() & (F.col("at") > F.add_months("newest", -window))
+    return with_newest(series).groupBy(*by).agg(F.max_by(v, F.when(inside, F.col("at"))).alias("value"))
 
 
 # ------------------------------------------------------------------------- surveys
@@ -581,20 +596,16 @@ def education_rejects(directory: DataFrame, finance: DataFrame, grads: DataFrame
 # ------------------------------------------------------------------------- prices, amenities, movers
 
 
-def home_values(raw: DataFrame, indicator: str, window: int = 12) -> DataFrame:
-    """County price series (wide months) to the newest value of the last year."""
-    months = month_columns(raw.columns)
-    rows = scoped_counties(raw, county_key("statecodefips", "municipalcodefips"))
-    return records(rows, "county", indicator, value=latest_within(months, window))
+def home_values(series: DataFrame, indicator: str, window: int = 12) -> DataFrame:
+    """County price series (statecodefips, municipalcodefips, month, value) to the newest value of the last year."""
+    rows = latest_within(scoped_counties(series, county_key("statecodefips", "municipalcodefips")), ["geo_id"], window)
+    return records(rows, "county", indicator)
 
 
-def zip_values(raw: DataFrame, window: int = 12) -> DataFrame:
-    """zcta, state, value: ZIP price series to the newest value of the last year."""
-    months = month_columns(raw.columns)
-    return raw.select(
-        F.lpad(F.trim("regionname"), 5, "0").alias("zcta"), F.trim("state").alias("state"),
-        latest_within(months, window).alias("value"),
-    ).where(F.col("zcta").rlike("^[0-9]+$") & F.col("value").isNotNull())
+def zip_values(series: DataFrame, window: int = 12) -> DataFrame:
+    """zcta, state, value: ZIP price series (regionname, state, month, value) to the newest value of the last year."""
+    keyed = series.select(F.lpad(F.trim("regionname"), 5, "0").alias("zcta"), F.trim("state").alias("state"), "month", "value")
+    return latest_within(keyed, ["zcta", "state"], window).where(F.col("zcta").rlike("^[0-9]+$") & F.col("value").isNotNull())
 
 
 def zip_place_overlap(raw: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ def test_inverse_hhi(spark):
 
 def test_latest_value_is_recent_or_missing(spark):
     months = [f"{2023 + m // 12}-{m % 12 + 1:02d}-28" for m in range(24)]
-    row = lambda **v: ["42", "43", *[v.get(f"m{i}", "") for i in range(24)]]
-    raw = strings(spark, ["statecodefips", "municipalcodefips", *months], [row(m3="1450"), row(m3="1", m18="1900"), row(m18="7", m23="n/a")])
-    assert [r["value"] for r in no.home_values(raw, "rent").collect()] == [None, 1900.0, 7.0]
+    row = lambda county, **v: ["42", county, *[v.get(f"m{i}", "") for i in range(24)]]
+    raw = strings(spark, ["statecodefips", "municipalcodefips", *months], [row("43", m3="1450"), row("45", m3="1", m18="1900"), row("47", m18="7", m23="n/a")])
+    assert [r["value"] for r in no.home_values(no.melt_months(raw), "rent").orderBy("geo_id").collect()] == [None, 1900.0, 7.0]
 
 
 def test_crash_rate_zero_is_real_and_tiny_is_missing(spark):
