@@ -179,64 +179,117 @@ MIN_FIT_CHOICES = 4
 MIN_LOO_CHOICES = 8
 
 
-def _logistic(x, y, l2=L2, steps=50):
-    """Ridge logistic coefficients (no intercept) by Newton's method."""
-    import numpy as np
-
-    beta = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (y - p) / len(y) - l2 * beta
-        if np.abs(grad).max(initial=0.0) < 1e-12:
-            break
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + l2 * np.eye(x.shape[1])
-        beta = beta + np.linalg.solve(hess, grad)
-    return beta
+#: Numbers in one stack of fits: people and folds times tasks times attributes.
+STACK = 2_000_000
+FIT_SCHEMA = "person string, n_choices int, accuracy double, cv_accuracy double, weights map<string,double>, coefficients map<string,double>"
 
 
-def _standard(x):
-    spread = x.std(axis=0)
-    spread[spread == 0] = 1.0
-    return x.mean(axis=0), spread
+def stacked_fits(x, y, keep, l2: float = L2, steps: int = 50):
+    """Ridge logistic fits (no intercept) of a stack at once, by Newton's method: coefficients, means and spreads.
 
+    x: fits, tasks, attributes; y and keep: fits, tasks. Each fit is of the tasks that it keeps, scaled by their mean and
+    spread (an attribute without spread by 1).
+    """
+    import numpy as np
 
-FIT_SCHEMA = "person string, n_choices int, accuracy double, cv_accuracy double, weights map<string,double>, coefficients map<string,double>"
+    n = keep.sum(axis=1, keepdims=True)
+    mean = np.einsum("ft,fta->fa", keep, x) / n
+    spread = np.sqrt(np.einsum("ft,fta->fa", keep, (x - mean[:, None]) ** 2) / n)
+    spread[spread == 0] = 1.0
+    z = (x - mean[:, None]) / spread[:, None]
+    beta = np.zeros(mean.shape)
+    open_ = np.arange(len(x))
+    for _ in range(steps):
+        zo, ko, no = z[open_], keep[open_], n[open_]
+        p = 1.0 / (1.0 + np.exp(-np.clip(np.einsum("fta,fa->ft", zo, beta[open_]), -30, 30)))
+        grad = np.einsum("ft,fta->fa", ko * (y[open_] - p), zo) / no - l2 * beta[open_]
+        live = np.abs(grad).max(axis=1, initial=0.0) >= 1e-12
+        if not live.any():
+            break
+        open_, zo, grad = open_[live], zo[live], grad[live]
+        curve = (ko * p * (1 - p))[live] / no[live]
+        hess = np.einsum("ft,fta,ftb->fab", curve, zo, zo, optimize=True) + l2 * np.eye(x.shape[2])
+        beta[open_] += np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
+    return beta, mean, spread
 
 
 def fit_choices(matrix: DataFrame) -> DataFrame:
     """Importance of each attribute from a person's choices, and how well it predicts held-out ones.
 
-    A group is one person's answered tasks, which the questionnaire bounds; people are
-    spread over the cluster.
+    A person is one row of answered tasks, which the questionnaire bounds. A task takes all people of an Arrow batch who
+    answered as many tasks on as many attributes, and solves their fits and leave-one-out refits as one stack.
     """
-    import numpy as np
-    import pandas as pd
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="task_id", columns="indicator_id", values="diff", aggfunc="sum", fill_value=0.0)
-        names, raw = list(wide.columns), wide.to_numpy(float)
-        y = pdf.groupby("task_id")["chose_a"].first().reindex(wide.index).to_numpy(float)
-        out = {"person": pdf["person"].iloc[0], "n_choices": len(y), "accuracy": 0.0, "cv_accuracy": None, "weights": {}, "coefficients": {}}
-        if len(y) >= MIN_FIT_CHOICES:
-            mean, spread = _standard(raw)
-            x = (raw - mean) / spread
-            beta = _logistic(x, y)
-            out["accuracy"] = float((((x @ beta) > 0) == (y > 0)).mean())
-            out["coefficients"] = dict(zip(names, map(float, beta)))
-            size = np.abs(beta).sum()
-            out["weights"] = dict(zip(names, map(float, np.abs(beta) / size))) if size > 0 else {}
-            if len(y) >= MIN_LOO_CHOICES:
-                hits = 0
-                for i in range(len(y)):
-                    keep = np.arange(len(y)) != i
+    people = matrix.groupBy("person").agg(F.array_sort(F.collect_list(F.struct("task_id", "indicator_id", F.col("chose_a").cast("int").alias("a"), "diff"))).alias("said"))
+    min_fit, min_loo, limit = MIN_FIT_CHOICES, MIN_LOO_CHOICES, STACK
+    solve = stacked_fits
+
+    def fit(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        kind = pa.schema([("person", pa.string()), ("n_choices", pa.int32()), ("accuracy", pa.float64()), ("cv_accuracy", pa.float64()),
+                          ("weights", pa.map_(pa.string(), pa.float64())), ("coefficients", pa.map_(pa.string(), pa.float64()))])
+
+        def stacks(batch):
+            """People of one shape: their numbers, names of attributes, x and y."""
+            by: dict = {}
+            for row, said in enumerate(batch.column(1).to_pylist()):
+                tasks = {t: i for i, t in enumerate(dict.fromkeys(s["task_id"] for s in said))}
+                names = sorted({s["indicator_id"] for s in said})
+                at = {m: i for i, m in enumerate(names)}
+                x, y = np.zeros((len(tasks), len(names))), np.zeros(len(tasks))
+                for s in reversed(said):  # a task's first row says what was chosen
+                    x[tasks[s["task_id"]], at[s["indicator_id"]]] += s["diff"]
+                    y[tasks[s["task_id"]]] = s["a"]
+                by.setdefault(x.shape, []).append((row, names, x, y))
+            for (n, k), own in by.items():
+                step = max(1, limit // ((n + 1) * n * k))
+                for lo in range(0, len(own), step):
+                    yield own[lo: lo + step]
+
+        for batch in batches:
+            out = [None] * batch.num_rows
+            persons = batch.column(0).to_pylist()
+            for own in stacks(batch):
+                x, y = np.stack([o[2] for o in own]), np.stack([o[3] for o in own])
+                people, n, k = x.shape
+                beta, accuracy, cv = np.zeros((people, k)), np.zeros(people), [None] * people
+                if n >= min_fit:
+                    beta, mean, spread = solve(x, y, np.ones_like(y))
+                    guess = np.einsum("fta,fa->ft", (x - mean[:, None]) / spread[:, None], beta) > 0
+                    accuracy = (guess == (y > 0)).mean(axis=1)
+                if n >= min_loo:
+                    folds = np.repeat(np.arange(people), n)
+                    held = np.tile(np.arange(n), people)
+                    keep = np.ones((people * n, n))
+                    keep[np.arange(people * n), held] = 0.0
                     # The held-out choice is scaled by the others' mean and spread.
-                    mean, spread = _standard(raw[keep])
-                    beta = _logistic((raw[keep] - mean) / spread, y[keep])
-                    hits += int((((raw[i] - mean) / spread) @ beta > 0) == (y[i] > 0))
-                out["cv_accuracy"] = hits / len(y)
-        return pd.DataFrame([out])
-
-    return matrix.groupBy("person").applyInPandas(fit, FIT_SCHEMA)
+                    b, m, s = solve(x[folds], y[folds], keep)
+                    said = np.einsum("fa,fa->f", (x[folds, held] - m) / s, b) > 0
+                    cv = (said == (y[folds, held] > 0)).reshape(people, n).mean(axis=1).tolist()
+                for i, (row, names, _, _) in enumerate(own):
+                    size = float(np.abs(beta[i]).sum())
+                    fitted = n >= min_fit
+                    out[row] = (persons[row], n, float(accuracy[i]), cv[i], dict(zip(names, (np.abs(beta[i]) / size).tolist())) if size > 0 else {}, dict(zip(names, beta[i].tolist())) if fitted else {})
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array([list(v.items()) for v in c] if k > 3 else c, f.type) for k, (c, f) in enumerate(zip(columns, kind))], schema=kind)
+
+    return people.mapInArrow(fit, FIT_SCHEMA)
+
+
+def fit_gradient(matrix: DataFrame, fits: DataFrame, l2: float = L2) -> DataFrame:
+    """person, indicator_id, n_choices, gradient: of the penalised likelihood at the fitted coefficients. It is zero at the
+    only optimum, so it shows that a fit is one."""
+    live = fits.where(F.col("n_choices") >= MIN_FIT_CHOICES)
+    beta = live.select("person", "n_choices", F.explode("coefficients").alias("indicator_id", "beta"))
+    chosen = matrix.groupBy("person", "task_id").agg(F.max("chose_a").cast("int").alias("y"))
+    said = matrix.groupBy("person", "task_id", "indicator_id").agg(F.sum("diff").alias("diff"))
+    cells = chosen.join(beta, "person").join(said, ["person", "task_id", "indicator_id"], "left").withColumn("diff", F.coalesce("diff", F.lit(0.0)))
+    scale = cells.groupBy("person", "indicator_id").agg(F.avg("diff").alias("mean"), F.stddev_pop("diff").alias("spread"))
+    z = cells.join(scale, ["person", "indicator_id"]).withColumn("z", (F.col("diff") - F.col("mean")) / F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0))
+    p = z.groupBy("person", "task_id").agg((1 / (1 + F.exp(-F.sum(F.col("z") * F.col("beta"))))).alias("p"))
+    slope = F.avg((F.col("y") - F.col("p")) * F.col("z")) - l2 * F.first("beta")
+    return z.join(p, ["person", "task_id"]).groupBy("person", "indicator_id", "n_choices").agg(slope.alias("gradient"))
 
 
 def is_informative(n="n_choices", accuracy="accuracy", cv="cv_accuracy") -> Column:

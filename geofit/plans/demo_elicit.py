@@ -181,6 +181,15 @@ def e9(spark, sf):
     return fits(spark, sf).select("person", "n_choices", F.explode("coefficients").alias("indicator_id", "coefficient"))
 
 
+@query("e9_fit_optimality", """
+SELECT person, ind AS indicator_id, CAST(count(*) AS INT) AS n_choices, 0.0::DOUBLE AS gradient
+FROM e_ans JOIN e_task ON i = q WHERE value <> 'skip' GROUP BY 1, 2 HAVING count(*) >= 4""")
+def e9_optimality(spark, sf):
+    """Where the fitted coefficients leave the likelihood's slope: nowhere but at its one optimum is it zero."""
+    m = cut(el.choice_matrix(tasks(spark, sf), answers(spark, sf), registry(spark)))
+    return r6(el.fit_gradient(m, cut(el.fit_choices(m))), "gradient")
+
+
 @query("e10_loo_accuracy")
 def e10(spark, sf):
     return fits(spark, sf).select("person", "n_choices", "accuracy", "cv_accuracy")

@@ -74,3 +74,49 @@ def test_search_puts_prefixes_first(spark):
     for r in vis.place_search(q, u).orderBy("query_id", "n").collect():
         got.setdefault(r["query_id"], []).append(r["geo_id"])
     assert got == {1: ["3", "2", "1"], 3: ["1"]}
+
+
+def test_stacked_fits_equal_single_refits(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for person, (n, k) in {"a": (12, 3), "b": (12, 3), "c": (9, 5), "d": (5, 2), "e": (2, 2), "f": (12, 3)}.items():
+        x = rng.normal(size=(n, k)) * [1, 50, 0.01, 3, 7][:k]
+        if person == "f":
+            x[:, 1] = 4.0  # no spread
+        chosen = [bool(c) for c in rng.random(n) < 0.5]
+        rows += [(person, f"t{t}", chosen[t], f"i{i}", float(x[t, i])) for t in range(n) for i in range(k)]
+    matrix = spark.createDataFrame(rows, "person string, task_id string, chose_a boolean, indicator_id string, diff double")
+
+    def single(x, y):
+        mean, spread = x.mean(axis=0), x.std(axis=0)
+        spread[spread == 0] = 1
+        z, beta = (x - mean) / spread, np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-z @ beta))
+            beta += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(y) + 0.3 * np.eye(len(beta)), z.T @ (y - p) / len(y) - 0.3 * beta)
+        return beta, mean, spread
+
+    for r in el.fit_choices(matrix).collect():
+        own = {}
+        for p, t, a, i, d in rows:
+            if p == r.person:
+                own.setdefault(t, ({}, a))[0][i] = d
+        x, y = np.array([[v[0][i] for i in sorted(v[0])] for v in own.values()]), np.array([float(v[1]) for v in own.values()])
+        assert r.n_choices == len(y)
+        if len(y) < 4:
+            assert r.coefficients == {} and r.weights == {} and r.cv_accuracy is None and r.accuracy == 0
+            continue
+        beta, mean, spread = single(x, y)
+        assert np.allclose([r.coefficients[i] for i in sorted(r.coefficients)], beta) and np.isclose(sum(r.weights.values()), 1)
+        assert np.isclose(r.accuracy, np.mean(((x - mean) / spread @ beta > 0) == (y > 0)))
+        if len(y) < 8:
+            assert r.cv_accuracy is None
+            continue
+        hits = 0
+        for i in range(len(y)):
+            keep = np.arange(len(y)) != i
+            beta, mean, spread = single(x[keep], y[keep])
+            hits += ((x[i] - mean) / spread @ beta > 0) == (y[i] > 0)
+        assert np.isclose(r.cv_accuracy, hits / len(y))
+    slopes = el.fit_gradient(matrix, el.fit_choices(matrix)).collect()
+    assert len(slopes) == 3 + 3 + 5 + 2 + 3 and all(abs(r.gradient) < 1e-9 for r in slopes)
