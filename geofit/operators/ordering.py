@@ -67,17 +67,31 @@ def value_positions(df: DataFrame, by: list[str], value: str, buckets: int = BUC
     )
 
 
+#: A value is heavy that holds this part of its group; at most HEAVY_VALUES are, the most frequent.
+HEAVY_PART, HEAVY_VALUES, SALTS = 0.01, 1_000, 64
+
+
 def average_rank(df: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """Adds avg_rank (ties share the mean rank) and n (non-null values in the group).
 
-    Null values get a null rank.
+    Null values get a null rank. Rows find their value's rank by an equi-join in which neither a null nor a frequent value
+    is one key: heavy values are known from their counts, their ranks are repeated over salts, and rows that hold one,
+    or null, are spread by a hash of the row.
     """
     if not by:
         return average_rank(df.withColumn("__all", F.lit(1)), ["__all"], value, buckets).drop("__all")
     ranks = value_positions(df, by, value, buckets).select(
-        *by, value, (F.col("before") + (F.col("ties") + 1) / 2).alias("avg_rank"), "n"
+        *by, value, (F.col("before") + (F.col("ties") + 1) / 2).alias("avg_rank"), "n", (F.col("ties") >= HEAVY_PART * F.col("n")).alias("__often"), "ties"
     )
-    return df.join(ranks, [*by, value], "left")
+    heavy = ranks.where("__often").orderBy(F.desc("ties"), *by, value).limit(HEAVY_VALUES).select(*by, value, F.lit(True).alias("__heavy"))
+    heavy = F.broadcast(heavy)  # HEAVY_VALUES rows at most
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
+    salt = F.when(F.col(value).isNull() | F.col("__heavy"), spread).otherwise(F.lit(0))
+    rows = df.join(heavy, [*by, value], "left").withColumn("__salt", salt).drop("__heavy")
+    salts = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    found = ranks.join(heavy, [*by, value], "left").select(*by, value, "avg_rank", "n", F.explode(salts).alias("__salt"))
+    return rows.join(found, [*by, value, "__salt"], "left").drop("__salt").select(*df.columns, "avg_rank", "n")
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float], buckets: int = BUCKETS) -> DataFrame:

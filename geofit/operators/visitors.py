@@ -306,19 +306,28 @@ def pin_summary(near: DataFrame, scores: DataFrame, prices: DataFrame, visitors:
         F.min(F.when(F.col("b") == "ok", key))["geo_id"].alias("best_ok"), F.count_if(F.col("b") == "ok").alias("under"))
 
 
+def _grams(text: str, sizes: Column) -> Column:
+    """The distinct letter groups of a text, of each of the sizes."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(sizes, of)))
+
+
 def place_search(queries: DataFrame, universe: DataFrame, limit: int = 8) -> DataFrame:
     """Names containing the text: those starting with it first, then by population.
 
-    queries: query_id, q. A text is matched through its first three (or two) characters, an
-    equi-join on the letter groups of the names, and then checked whole.
+    queries: query_id, q. A text is matched through the rarest of its groups of three letters (its two letters, if it has
+    no more), an equi-join on the letter groups of the names, and then checked whole. How many names hold a group is
+    counted first, so a group that most names share is met only by a text that has no other.
     """
-    q = queries.withColumn("t", F.lower(F.trim("q"))).where(F.length("t") >= 2).withColumn("g", F.substring("t", 1, 3))
+    q = queries.withColumn("t", F.lower(F.trim("q"))).where(F.length("t") >= 2)
     label = F.concat_ws(", ", clean_name("name"), "state_usps")
     key = F.lower(F.concat_ws(" ", clean_name("name"), "state_usps"))
     names = universe.select("geo_id", label.alias("label"), key.alias("key"), F.coalesce("population", F.lit(0)).alias("pop"))
-    at = F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1)))
-    grams = F.array_distinct(F.concat(F.transform(at, lambda i: F.substring("key", i, F.lit(3))), F.transform(at, lambda i: F.substring("key", i, F.lit(2)))))
-    hits = names.withColumn("g", F.explode(grams)).join(q.select("query_id", "t", "g"), "g").where(F.contains("key", "t"))
+    postings = names.withColumn("g", F.explode(_grams("key", F.array(F.lit(3), F.lit(2)))))
+    asked = q.select("query_id", "t", F.explode(_grams("t", F.array(F.least(F.length("t"), F.lit(3))))).alias("g"))
+    held = postings.groupBy("g").agg(F.count(F.lit(1)).alias("held"))
+    rarest = asked.join(held, "g", "left").groupBy("query_id", "t").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "g"))["g"].alias("g"))
+    hits = postings.join(rarest, "g").where(F.contains("key", "t"))
     order = [F.desc(F.startswith("key", "t")), F.desc("pop"), F.asc("geo_id")]
     return top_k(hits.select("query_id", "t", "geo_id", "label", "key", "pop"), ["query_id"], order, limit, "n").select("query_id", "n", "geo_id", "label")
 

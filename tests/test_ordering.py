@@ -40,3 +40,23 @@ def test_quantiles_interpolate(spark, values, q):
     sdf = spark.createDataFrame([(float(v),) for v in values], "v double")
     got = od.exact_quantiles(sdf, [], "v", {"q": q}, buckets=3).first()["q"]
     assert abs(got - np.quantile(np.array(values, float), q)) < 1e-9
+
+
+def test_nulls_and_a_frequent_value_are_spread(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in (("spark.sql.shuffle.partitions", "8"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(k, v)
+    try:
+        v = F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 6 < 4, 7.0).otherwise(F.col("id").cast("double"))
+        df = spark.range(60_000).select("id", F.lit("g").alias("g"), v.alias("v"))
+        ranked = od.average_rank(df, ["g"], "v")
+        rows = ranked.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+        sizes = sorted(r["count"] for r in rows)
+        assert len(sizes) == 8 and sizes[-1] < 4 * sizes[4]
+        got = {r.v: (r.avg_rank, r.n) for r in ranked.where("v is null or v in (7.0, 5.0)").distinct().collect() if r.v is not None}
+        n7 = df.where("v = 7.0").count()
+        below = df.where("v < 7.0").count()
+        assert got[7.0] == (below + (n7 + 1) / 2, 30_000) and ranked.where("v is null and (avg_rank is not null or n is not null)").count() == 0
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

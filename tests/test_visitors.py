@@ -64,3 +64,21 @@ def test_visitor_blocks_match_brute_force(spark):
     for blocks, salts in ((64, 8), (3, 2)):
         scored = vis.visitor_scores(vis.visitor_pairs(vecs, packed, 2, 1, 1, blocks, salts), 3)
         assert {(r.visitor_id, r.geo_id): (round(r.score, 9), r.ok) for r in scored.collect()} == want
+
+
+def test_place_search_matches_brute_force(spark):
+    names = [("Oak", "TX"), ("Oak Lake", "TX"), ("Lake", "OH"), ("A", "TX"), ("Long Oak Lakeside", "OH"), ("Txoak", "TX"), (None, "TX")]
+    rows = [(f"g{i}", n, st, i * 7 % 5 if i % 3 else None) for i, (n, st) in enumerate(names)]
+    asked = ["oak", " OAK ", "tx", "ak l", "x", "", None, "zzz", "lake oh", "a tx", "e"]
+    got = {}
+    universe = spark.createDataFrame(rows, "geo_id string, name string, state_usps string, population long")
+    for r in vis.place_search(spark.createDataFrame(list(enumerate(asked)), "query_id int, q string"), universe, 3).collect():
+        got.setdefault(r.query_id, []).append((r.n, r.geo_id))
+    want = {}
+    for k, q in enumerate(asked):
+        t = (q or "").strip().lower()
+        key = lambda r: " ".join(x for x in (r[1], r[2]) if x).lower()
+        found = sorted((not key(r).startswith(t), -(r[3] or 0), r[0]) for r in rows if len(t) >= 2 and t in key(r))[:3]
+        if found:
+            want[k] = list(enumerate([f[2] for f in found], 1))
+    assert {k: sorted(v) for k, v in got.items()} == want
