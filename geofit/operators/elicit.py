@@ -31,16 +31,17 @@ def phrase_rung(percentile: Column, phrases: Column) -> Column:
     return F.when(percentile.isNotNull() & (n > 0), F.greatest(F.lit(0), F.least(n - 1, F.floor(percentile * n).cast("int"))))
 
 
-def describe(value: Column, percentile: Column, unit: Column, phrases: Column) -> Column:
-    """Words where the indicator has a ladder, else the formatted number."""
+def describe(value: Column, percentile: Column, unit: Column, phrases: Column, phrasing: Column | None = None) -> Column:
+    """Words where the indicator is `categorical` and has a ladder, else the formatted number."""
     rung = phrase_rung(percentile, phrases)
-    return F.coalesce(F.when(rung.isNotNull(), F.get(phrases, rung)), format_value(value, unit))
+    worded = rung.isNotNull() if phrasing is None else rung.isNotNull() & (phrasing == "categorical")
+    return F.coalesce(F.when(worded, F.get(phrases, rung)), format_value(value, unit))
 
 
 def separates(x: Column) -> Column:
-    """Far enough apart to have an opinion about, in percentile and in words."""
+    """Far enough apart to have an opinion about, in percentile and, of a categorical attribute, in words."""
     gap = F.abs(x["a_pct"] - x["b_pct"]) >= MIN_PERCENTILE_GAP
-    rungs = x["a_rung"].isNull() | (F.abs(x["a_rung"] - x["b_rung"]) >= MIN_PHRASE_STEPS)
+    rungs = ~x["worded"] | F.coalesce(F.abs(x["a_rung"] - x["b_rung"]) >= MIN_PHRASE_STEPS, F.lit(False))
     return F.coalesce(gap & rungs, F.lit(False))
 
 
@@ -80,14 +81,15 @@ def choice_candidates(features: DataFrame, universe: DataFrame, registry: DataFr
     All eligible places are offered once a round, each with its neighbour in a random order: no place meets every other.
     """
     s = F.lit(str(seed))
-    entries = registry.select("indicator_id", "phrases", (F.col("curve") == "lower_better").alias("lower"))
+    worded = F.coalesce(F.col("phrasing") == "categorical", F.lit(False))
+    entries = registry.select("indicator_id", "phrases", worded.alias("worded"), (F.col("curve") == "lower_better").alias("lower"))
     places = cut(
         features.where(F.col("indicator_id").isin(*attributes) & F.col("value").isNotNull())
         .join(universe.where(F.col("population") > min_population).select("geo_id"), "geo_id", "left_semi")
         .join(entries, "indicator_id")
         .groupBy("geo_id")
         .agg(F.array_sort(F.collect_list(F.struct(
-            F.col("indicator_id").alias("indicator"), "value", "percentile", "lower", phrase_rung(F.col("percentile"), F.col("phrases")).alias("rung")))).alias("at"))
+            F.col("indicator_id").alias("indicator"), "value", "percentile", "lower", "worded", phrase_rung(F.col("percentile"), F.col("phrases")).alias("rung")))).alias("at"))
         .where(F.size("at") == len(attributes))
     )
     met = neighbours(places.select("geo_id"), rounds, seed).select("a", "b").distinct()
@@ -95,7 +97,7 @@ def choice_candidates(features: DataFrame, universe: DataFrame, registry: DataFr
     pairs = met.join(side("a"), "a").join(side("b"), "b")
     both = F.zip_with("x.at", "y.at", lambda a, b: F.struct(
         a["indicator"].alias("indicator"), a["value"].alias("a_raw"), b["value"].alias("b_raw"), a["percentile"].alias("a_pct"), b["percentile"].alias("b_pct"),
-        a["lower"].alias("lower"), a["rung"].alias("a_rung"), b["rung"].alias("b_rung")))
+        a["lower"].alias("lower"), a["worded"].alias("worded"), a["rung"].alias("a_rung"), b["rung"].alias("b_rung")))
     draw = F.transform(F.filter(both, separates), lambda x: F.struct(_draw(s, "x.geo_id", "y.geo_id", x["indicator"]).alias("h"), x.alias("x")))
     shown = F.transform(F.slice(F.array_sort(draw), 1, ATTRIBUTES_PER_TASK), lambda r: r["x"])
     return (
@@ -112,6 +114,23 @@ def choice_pairs(candidates: DataFrame, tasks: int = 25, seed: int = 7) -> DataF
     return picked.select(F.concat(F.lit("choice_"), number.cast("string")).alias("task_id"), F.lit(None).cast("string").alias("repeat_of"), "a", "b", keep.alias("attributes"))
 
 
+QUESTION = "Which would you rather live in?"
+ANSWERS = ("A", "B", "Genuinely can't choose")
+
+
+def worded_tasks(tasks: DataFrame, registry: DataFrame) -> DataFrame:
+    """Tasks as they are put to a person: the question, its answers, and each attribute's plain name with either side in
+    words or figures, in the order shown."""
+    entries = registry.select(F.col("indicator_id").alias("indicator"), F.coalesce("question_label", "label").alias("name"), "unit", "phrases", "phrasing")
+    side = lambda k: describe(F.col(f"x.{k}_raw"), F.col(f"x.{k}_pct"), F.col("unit"), F.col("phrases"), F.col("phrasing"))
+    shown = (
+        tasks.select("task_id", F.posexplode("attributes").alias("n", "x")).withColumn("indicator", F.col("x.indicator")).join(entries, "indicator")
+        .groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("n", "indicator", F.col("name").alias("label"), side("a").alias("a"), side("b").alias("b")))).alias("shown"))
+    )
+    put = tasks.join(shown, "task_id").withColumn("text", F.lit(QUESTION)).withColumn("options", F.array(*[F.lit(o) for o in ANSWERS]))
+    return put.select("task_id", "repeat_of", "text", "options", "shown", "attributes")
+
+
 def repeat_tasks(tasks: DataFrame, k: int, seed: int = 7) -> DataFrame:
     """k tasks again, to see whether they are answered alike."""
     echo = tasks.orderBy(_draw(F.lit(str(seed)), F.lit("repeat"), "task_id")).limit(k)

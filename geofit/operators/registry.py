@@ -19,7 +19,7 @@ from geofit.functions.curves import PARAM_FIELDS, PARAMS_TYPE
 REGISTRY_SCHEMA = (
     "indicator_id string, domain string, geo_level string, unit string, label string, source string, "
     f"curve string, params {PARAMS_TYPE}, transform string, scoring boolean, sensitive boolean, "
-    "direction string, crosswalk_from string, phrases array<string>, quality string"
+    "direction string, crosswalk_from string, phrases array<string>, quality string, phrasing string, question_label string"
 )
 DOMAIN_SCHEMA = "domain string, label string, default_weight double, scoring boolean, sensitive boolean, locked boolean"
 SOURCE_SCHEMA = "source string, name string, url string, geo_levels array<string>, vintage string, license string"
@@ -52,6 +52,7 @@ def registry_frame(spark: SparkSession, entries: list[dict]) -> DataFrame:
                 curve_params(e.get("curve_params")),
                 e.get("transform", "none"), e.get("scoring", True), e.get("sensitive", False),
                 e.get("direction"), e.get("crosswalk_from"), e.get("phrases"), e.get("quality"),
+                e.get("phrasing", "categorical" if e.get("phrases") else "numeric"), e.get("question_label"),
             )
         )
     return local_frame(spark, rows, REGISTRY_SCHEMA)

@@ -27,7 +27,7 @@ REGISTRY = [
     ind("spend_per_order", "market", "place", "usd", "higher_better", transform="per_capita"),
     ind("order_count", "market", "place", "count", "ideal_band", dict(lo=8, hi=12, shoulder=6, shoulder_lo=4)),
     ind("balance", "money", "place", "index", "lower_better"),
-    ind("big_order", "money", "place", "usd", "higher_better", transform="sqrt", phrases=PHRASES),
+    ind("big_order", "money", "place", "usd", "higher_better", transform="sqrt", phrases=PHRASES, question_label="Large orders"),
     ind("urgent_share", "service", "place", "share", "ideal_point", dict(target=0.2, tol=0.15)),
     ind("retired_count", "service", "place", "count", "higher_better", scoring=False),
     ind("open_share", "politics", "place", "share", "ideal_point", dict(target=0.33, tol=0.3), sensitive=True),

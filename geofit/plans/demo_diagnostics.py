@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from geofit.functions import keys
 from geofit.functions.units import SHAPES, format_value
 from geofit.operators import contracts as con
 from geofit.operators import diagnostics as dg
+from geofit.operators import elicit as el
 from geofit.operators import features as feat
 from geofit.operators import publish as pub
 from geofit.operators import scoring as sc
@@ -15,6 +18,7 @@ from geofit.operators import validate as val
 from geofit.operators.lineage import cut
 from geofit.operators.registry import DOMAIN_SCHEMA, SOURCE_SCHEMA, local_frame, registry_frame
 from geofit.plans import demo_base as base
+from geofit.plans import demo_elicit as de
 from geofit.plans import demo_scoring as ds
 from geofit.plans import demo_sources as src
 from geofit.plans import demo_universe as du
@@ -434,3 +438,19 @@ def g6(spark, sf):
     unit = F.element_at(F.array(*[F.lit(f" {u.upper()}") for u in UNITS]), (F.col("l_partkey") % len(UNITS) + 1).cast("int"))
     v = F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice") * F.col("l_discount") / F.col("l_linenumber"))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", format_value(v, unit).alias("shown"))
+
+
+# ------------------------------------------------------------------------- E1 as it is asked
+
+_WORDS = lambda v, pct: "CASE WHEN ind = 'big_order' THEN " + f"['very low', 'low', 'middling', 'high', 'very high'][CAST(least(4, greatest(0, floor({pct} * 5))) AS INT) + 1]" + "".join(
+    f" WHEN ind IN ({', '.join(chr(39) + i['indicator_id'] + chr(39) for i in base.REGISTRY if i['unit'] == u)}) THEN " + re.sub(r"\bv\b", v, _fmt_sql(u)) for u in ("usd", "count", "index", "share")) + " END"
+
+
+@query("e1_worded_tasks", f"""
+SELECT c.task_id, CAST(list_position(c.inds, b.ind) - 1 AS INT) AS n, CASE WHEN b.ind = 'big_order' THEN 'Large orders' ELSE b.ind END AS label,
+  {_WORDS('a_raw', 'a_pct')} AS a, {_WORDS('b_raw', 'b_pct')} AS b, 'Which would you rather live in?' AS text, 3 AS answers
+FROM e_choice c JOIN e_both b ON b.a = c.a AND b.b = c.b AND list_contains(c.inds, b.ind)""")
+def e1_worded(spark, sf):
+    reg = base.registry(spark)
+    put = el.worded_tasks(cut(el.choice_pairs(de.candidates(spark, sf))), reg)
+    return put.select("task_id", "text", F.size("options").alias("answers"), F.inline("shown")).drop("indicator")

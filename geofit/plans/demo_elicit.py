@@ -124,8 +124,8 @@ def e2(spark, sf):
 SELECT geo_id, CAST(least(4, greatest(0, floor(percentile * 5))) AS INT) AS rung, CASE WHEN percentile IS NULL THEN '—' ELSE ['very low', 'low', 'middling', 'high', 'very high'][CAST(least(4, greatest(0, floor(percentile * 5))) AS INT) + 1] END AS words
 FROM s_feats WHERE indicator_id = 'big_order'""")
 def e3(spark, sf):
-    f = base.place_features(spark, sf).join(base.registry(spark).where("phrases is not null").select("indicator_id", "unit", "phrases"), "indicator_id")
-    return f.select("geo_id", el.phrase_rung(F.col("percentile"), F.col("phrases")).alias("rung"), el.describe(F.col("value"), F.col("percentile"), F.col("unit"), F.col("phrases")).alias("words"))
+    f = base.place_features(spark, sf).join(base.registry(spark).where("phrases is not null").select("indicator_id", "unit", "phrases", "phrasing"), "indicator_id")
+    return f.select("geo_id", el.phrase_rung(F.col("percentile"), F.col("phrases")).alias("rung"), el.describe(F.col("value"), F.col("percentile"), F.col("unit"), F.col("phrases"), F.col("phrasing")).alias("words"))
 
 
 @query("e4_repeat_tasks", """
