@@ -108,34 +108,36 @@ class SpanHash:
 
     BASE = 0x9E3779B97F4A7C15 | 5
     VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    _powers: tuple[np.ndarray, np.ndarray] | None = None
+    #: Powers that a worker keeps; those of a longer block are made for it and let go.
+    KEPT = 1 << 18
+    _kept: tuple[np.ndarray, np.ndarray] | None = None
 
     def __init__(self, data: np.ndarray):
-        up, _ = self.powers(len(data))
+        up, self.down = self.powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.VALUES[data] * up[: len(data)], out=self.sums[1:])
 
     @classmethod
     def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if cls._powers is None or len(cls._powers[0]) <= n:
-            size = 2 * n + 1
-            inverse = pow(cls.BASE, -1, 1 << 64)
-            made = []
-            for base in (cls.BASE, inverse):
-                p = np.full(size, base, np.uint64)
-                p[0] = 1
-                made.append(np.cumprod(p, dtype=np.uint64))
-            cls._powers = made[0], made[1]
-        return cls._powers
+        """B^k and B^-k for k below n (or more)."""
+        if n <= cls.KEPT and cls._kept is not None:
+            return cls._kept
+        made = []
+        for base in (cls.BASE, pow(cls.BASE, -1, 1 << 64)):
+            p = np.full(max(n, cls.KEPT), base, np.uint64)
+            p[0] = 1
+            made.append(np.cumprod(p, dtype=np.uint64))
+        if n <= cls.KEPT:
+            cls._kept = made[0], made[1]
+        return made[0], made[1]
 
     def rolling(self, n: int) -> np.ndarray:
         """Hashes of all spans of n bytes, by start."""
         at = len(self.sums) - n
-        return mix((self.sums[n:] - self.sums[:at]) * self.powers(len(self.sums))[1][:at])
+        return mix((self.sums[n:] - self.sums[:at]) * self.down[:at])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        _, down = self.powers(len(self.sums))
-        return mix((self.sums[ends] - self.sums[starts]) * down[starts])
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
 def run_bounds(inside: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -51,8 +51,8 @@ def by_ids(rows: DataFrame, ids: DataFrame, how: str, name: str = "rid") -> Data
     return rows.join(F.broadcast(ids) if 8 * ids.count() <= IDS_BYTES else ids, name, how)
 
 
-def _sets(rows: DataFrame, k: int, fields: list[tuple[str, pa.DataType]], ddl: str, make) -> DataFrame:
-    """Rows (rid, text) to what `make` gives for a block's (rids, tokens, offsets)."""
+def _sets(rows: DataFrame, k: int, fields: list[tuple[str, pa.DataType]], ddl: str, make, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (rid, text) to what `make` gives for a block's (rids, tokens, offsets), and to the columns of rows to keep."""
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,9 +61,10 @@ def _sets(rows: DataFrame, k: int, fields: list[tuple[str, pa.DataType]], ddl: s
             data, offsets = buffers(batch.column(1))
             for lo, hi in rounds(offsets):
                 tokens, at = shingle_sets(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in make(rids[lo:hi], tokens, at)], schema=schema)
+                kept = [batch.column(2 + j).slice(lo, hi - lo) for j in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in make(rids[lo:hi], tokens, at)], *kept], schema=schema)
 
-    return map_arrow(rows.select("rid", "text"), run, ddl)
+    return map_arrow(rows.select("rid", "text", *keep), run, ddl)
 
 
 def rooted(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -75,8 +76,8 @@ def rooted(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def keys(rids, tokens, at):
         return [rids, np.diff(at), *[x.view(np.int64) for x in set_keys(tokens, at)]]
 
-    keyed = _sets(texts, k, [("rid", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())], "rid long, n long, k1 long, k2 long", keys)
-    keyed = scratch.put("sets", keyed.join(texts.select(F.col("rid"), F.col("doc_id")), "rid"))
+    fields = [(c, pa.int64()) for c in ("rid", "n", "k1", "k2", "doc_id")]
+    keyed = scratch.put("sets", _sets(texts, k, fields, "rid long, n long, k1 long, k2 long, doc_id long", keys, keep=("doc_id",)))
     classes = scratch.put("classes", keyed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("rep"), F.count("rid").alias("copies")))
     spare = keyed.join(classes, ["k1", "k2", "n"]).where("rid <> rep").select("rid")
     members = scratch.put("members", keyed.join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep")))
