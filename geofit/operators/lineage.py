@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder (spark.checkpoint.dir), which every executor reaches.
 
-    A session without one, as in tests, gets a folder beside the warehouse's tables.
+    A local session without one, as in tests, gets a folder beside the warehouse's tables; on a cluster, where that
+    folder may be the driver's alone, it is refused.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoint")
     return sc.getCheckpointDir()
 
