@@ -108,8 +108,8 @@ class SpanHash:
 
     BASE = 0x9E3779B97F4A7C15 | 5
     VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    #: Powers that a worker keeps; those of a longer block are made for it and let go.
-    KEPT = 1 << 18
+    #: Powers that a worker keeps: those of a usual block. Those of a longer text are made for it and let go.
+    KEPT = TEXT_BLOCK + 1
     _kept: tuple[np.ndarray, np.ndarray] | None = None
 
     def __init__(self, data: np.ndarray):
