@@ -120,3 +120,17 @@ def test_stacked_fits_equal_single_refits(spark):
         assert np.isclose(r.cv_accuracy, hits / len(y))
     slopes = el.fit_gradient(matrix, el.fit_choices(matrix)).collect()
     assert len(slopes) == 3 + 3 + 5 + 2 + 3 and all(abs(r.gradient) < 1e-9 for r in slopes)
+
+
+def test_fits_hold_a_bounded_number_of_answers(spark, monkeypatch):
+    """Small runs and stacks give the fits that one stack gives; a person's folds are cut too."""
+    tasks, answers, _ = survey(spark, {f"r{i}": np.eye(8)[i % 8] for i in range(9)}, 20, seed=2)
+    matrix = el.choice_matrix(tasks, answers, registry_frame(spark, REG)).repartition(1)
+    whole = {r.person: r for r in el.fit_choices(matrix).collect()}
+    monkeypatch.setattr(el, "STACK", 500)
+    monkeypatch.setattr(el, "ANSWERS", 200)
+    cut = {r.person: r for r in el.fit_choices(matrix).collect()}
+    assert cut.keys() == whole.keys()
+    for p, r in cut.items():
+        assert (r.n_choices, r.accuracy, r.cv_accuracy) == (whole[p].n_choices, whole[p].accuracy, whole[p].cv_accuracy)
+        assert r.coefficients == pytest.approx(whole[p].coefficients)
