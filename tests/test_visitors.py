@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from geofit.operators import visitors as vis
 from geofit.operators.registry import local_frame, registry_frame
 
@@ -82,3 +84,16 @@ def test_place_search_matches_brute_force(spark):
         if found:
             want[k] = list(enumerate([f[2] for f in found], 1))
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_pins_take_the_least_rank_and_search_asks_each_text_once(spark):
+    near = spark.createDataFrame([("a", "t1"), ("a", "t2"), ("a", "t3"), ("b", "t3"), ("b", "t4"), ("c", "t9")], "pin string, geo_id string").withColumn("miles", F.lit(1.0))
+    scores = spark.createDataFrame([("v", "t1", 0.5, True), ("v", "t2", 0.5, True), ("v", "t3", 0.9, True), ("v", "t4", 1.0, False), ("w", "t2", 0.4, True)], "visitor_id string, geo_id string, score double, ok boolean")
+    prices = spark.createDataFrame([("t1", 10.0), ("t2", 5.0), ("t3", 50.0)], "geo_id string, price double")
+    out = vis.pin_summary(near, scores, prices, spark.createDataFrame([("v", 7.0), ("w", None)], "visitor_id string, cap double"))
+    assert {tuple(r) for r in out.collect()} == {("v", "a", 3, "t3", "t2", 1), ("v", "b", 1, "t3", None, 0), ("w", "a", 1, "t2", None, 0)}
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()  # least ranks are numbers
+    u = spark.createDataFrame([(f"g{i}", f"Abcdefghijklmnopqrs {i}", "TX", i) for i in range(30)], "geo_id string, name string, state_usps string, population long")
+    q = spark.createDataFrame([(1, "abcdefghijklmnopqrs 2"), (1, "abcdefghijklmnopqrs 2"), (2, "ABCDEFGHIJKLMNOPQRS 2"), (3, "abcdefghijklmnopX")], "query_id int, q string")
+    got = vis.place_search(q, u, 2).collect()
+    assert sorted((r.query_id, r.n, r.geo_id) for r in got) == [(k, n, g) for k in (1, 2) for n, g in ((1, "g29"), (2, "g28"))]
