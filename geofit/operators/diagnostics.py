@@ -11,7 +11,7 @@ from geofit.functions.curves import desirability
 from geofit.functions.keys import county_key, match_stem
 from geofit.functions.units import format_value
 from geofit.operators.lineage import cut
-from geofit.operators.ordering import average_rank, exact_quantiles, top_k
+from geofit.operators.ordering import HEAVY_VALUES, average_rank, exact_quantiles, top_k
 from geofit.operators.registry import Profiles
 from geofit.operators.scoring import ranking, score
 from geofit.sources.normalise import num, with_newest
@@ -329,13 +329,40 @@ def _leaks_by_join(texts: DataFrame, universe: DataFrame, numbers: DataFrame | N
 # ------------------------------------------------------------------------- calibration
 
 
+#: Groups of at most so many rows are ranked whole, by one shuffle on the group.
+WHOLE_ROWS = 100_000
+
+
 def spearman(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """Rank correlation per group; null under three pairs or when a side does not vary."""
-    ranked = average_rank(pairs, [by], a).withColumnRenamed("avg_rank", "__ra").drop("n")
-    ranked = average_rank(ranked, [by], b).withColumnRenamed("avg_rank", "__rb").drop("n")
+    """Rank correlation per group; null under three pairs or when a side does not vary.
+
+    Groups of up to WHOLE_ROWS rows are ranked by windows that hold them; larger ones are cut into buckets. Rows without
+    a group are counted and have no ranks.
+    """
+    large = cut(pairs.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE_ROWS).select(by))
+    held = large.count()
+    large = F.broadcast(large) if held <= HEAVY_VALUES else large
+    small = pairs.where(F.col(by).isNotNull()).select(by, a, b)
+    small = small.join(large, by, "left_anti") if held else small
+
+    def rank(value):
+        w = Window.partitionBy(by).orderBy(F.col(value).asc_nulls_last())
+        upto = F.count(value).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return F.when(F.col(value).isNotNull(), (F.rank().over(w) + upto) / 2)
+
+    ranked = small.withColumn("__ra", rank(a)).withColumn("__rb", rank(b)).select(by, "__ra", "__rb")
+    if held:
+        rest = pairs.select(by, a, b).join(large, by, "left_semi")
+        rest = average_rank(rest, [by], a).withColumnRenamed("avg_rank", "__ra").drop("n")
+        rest = average_rank(rest, [by], b).withColumnRenamed("avg_rank", "__rb").drop("n")
+        ranked = ranked.unionByName(rest.select(by, "__ra", "__rb"))
+    none = F.lit(None).cast("double")
+    ranked = ranked.unionByName(pairs.where(F.col(by).isNull()).select(by, none.alias("__ra"), none.alias("__rb")))
     varies = (F.stddev_pop("__ra") > 0) & (F.stddev_pop("__rb") > 0)
-    return ranked.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) >= 3) & varies, F.corr("__ra", "__rb")).alias("rho"))
+    # As corr, which an ANSI session ends with a division by zero where a side does not vary.
+    paired = lambda x, y: F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x)))
+    rho = F.try_divide(F.covar_pop("__ra", "__rb"), paired("__ra", "__rb") * paired("__rb", "__ra"))
+    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) >= 3) & varies, rho).alias("rho"))
 
 
 def calibration_score(features: DataFrame, registry: DataFrame, weights: DataFrame, by: str = "profile_id") -> DataFrame:

@@ -33,3 +33,31 @@ def test_leak_scan_matches_brute_force(spark):
     for most in (dg.TRIE_BYTES, 0):
         assert {tuple(r) for r in dg.leak_scan(*frames, trie_bytes=most).collect()} == want
     assert dg.leak_scan(frames[0].limit(0), frames[1]).count() == 0 and dg.leak_scan(frames[0], frames[1].limit(0)).count() == 0
+
+
+def test_spearman_ranks_small_groups_by_one_shuffle_and_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    cell = lambda: None if rng.random() < 0.1 else float(rng.randint(0, 6))
+    sizes = {"one": 1, "two": 2, "few": 9, "many": 60, None: 4}
+    rows = [(g, cell(), cell()) for g, n in sizes.items() for _ in range(n)] + [("flat", 1.0, float(i)) for i in range(5)]
+    frame = spark.createDataFrame(rows, "g string, a double, b double")
+
+    def ranks(values):
+        live = sorted(x for x in values if x is not None)
+        return [None if x is None else live.index(x) + (live.count(x) + 1) / 2 for x in values]
+
+    want = {}
+    for g in [*sizes, "flat"]:
+        own = [r for r in rows if r[0] == g]
+        both = [(x, y) for x, y in zip(ranks([r[1] for r in own]), ranks([r[2] for r in own])) if x is not None and y is not None]
+        rho = None
+        if g is not None and g != "flat" and len(own) >= 3:
+            mx, my = (sum(c) / len(both) for c in zip(*both))
+            dot = lambda i, j: sum((p[i] - (mx, my)[i]) * (p[j] - (mx, my)[j]) for p in both)
+            rho = round(dot(0, 1) / (dot(0, 0) * dot(1, 1)) ** 0.5, 9)
+        want[g] = (len(own), rho)
+    for most in (100_000, 20, 0):  # all groups whole, one cut into buckets, all cut
+        monkeypatch.setattr(dg, "WHOLE_ROWS", most, raising=False)
+        out = dg.spearman(frame, "g", "a", "b")
+        assert {r.g: (r.n, None if r.rho is None else round(r.rho, 9)) for r in out.collect()} == want
+        assert most < 100_000 or "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
