@@ -237,7 +237,8 @@ WHERE CASE k.op WHEN 'max' THEN f.value > threshold ELSE f.value < threshold END
 
 @query("d12_knockouts", f"SELECT {P}, round(score, 6) AS score FROM sp_score s WHERE NOT EXISTS (SELECT 1 FROM s_kohits h WHERE h.profile_id = s.profile_id AND h.geo_id = s.geo_id)")
 def d12(spark, sf):
-    out = sc.apply_knockouts(scored_places(spark, sf), base.place_features(spark, sf), base.profiles(spark).knockouts)
+    f, reg, p = base.place_features(spark, sf), base.registry(spark), base.profiles(spark)
+    out = sc.apply_knockouts(sc.score(f, reg, p), f, p.knockouts)
     return r6(out.select("profile_id", "geo_id", "score"), "score")
 
 
@@ -246,7 +247,8 @@ SELECT r.profile_id, r.rule_no, r.indicator_id, r.op, r.threshold, r.status, CAS
 FROM s_korules r LEFT JOIN (SELECT profile_id, rule_no, count(*) AS removed, arg_min(geo_id, struct_pack(s := -score, g := geo_id)) AS best
   FROM s_kohits GROUP BY 1, 2) h USING (profile_id, rule_no) LEFT JOIN s_univ u ON u.geo_id = h.best""")
 def d12_report(spark, sf):
-    return sc.knockout_report(scored_places(spark, sf), base.place_features(spark, sf), base.profiles(spark).knockouts, base.universe(spark, sf))
+    f, reg, p = base.place_features(spark, sf), base.registry(spark), base.profiles(spark)
+    return sc.knockout_report(sc.score(f, reg, p), f, p.knockouts, base.universe(spark, sf))
 
 
 @query("d13_joint_score", """
