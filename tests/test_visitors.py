@@ -97,3 +97,17 @@ def test_pins_take_the_least_rank_and_search_asks_each_text_once(spark):
     q = spark.createDataFrame([(1, "abcdefghijklmnopqrs 2"), (1, "abcdefghijklmnopqrs 2"), (2, "ABCDEFGHIJKLMNOPQRS 2"), (3, "abcdefghijklmnopX")], "query_id int, q string")
     got = vis.place_search(q, u, 2).collect()
     assert sorted((r.query_id, r.n, r.geo_id) for r in got) == [(k, n, g) for k in (1, 2) for n, g in ((1, "g29"), (2, "g28"))]
+
+
+def test_places_meet_as_many_blocks_as_visitors_fill(spark, monkeypatch):
+    places = spark.createDataFrame([(f"g{i}", [0.1 * i, 0.5], [0.2, None], [0.3], [0.4]) for i in range(10)], "geo_id string, f array<double>, cp array<double>, pct array<double>, raw array<double>")
+    slot = "struct<weight:double,direction:string,target:double,tol:double,k:double,centre:double>"
+    who = spark.createDataFrame([(f"v{i}", i % 2, 3.0, [(1.0, None, None, None, None, None), (1.0, None, None, None, None, None), (1.0, "higher", 0.5, 0.1, None, None)]) for i in range(5)],
+                                f"visitor_id string, preset_index int, total double, slots array<{slot}>")
+    rows = lambda df: sorted(tuple(r) for r in vis.visitor_scores(df, 3).select("visitor_id", "geo_id", "score").collect())
+    met = vis.visitor_pairs(places, who, 2, 1, 1)
+    assert rows(met) == rows(vis.visitor_pairs(places, who, 2, 1, 1, 64, 8)) and len(rows(met)) == 50
+    assert "explode([0])" in met._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(vis, "BLOCK_VISITORS", 2, raising=False)
+    met = vis.visitor_pairs(places, who, 2, 1, 1)
+    assert len(rows(met)) == 50 and "explode([0,1,2])" in met._jdf.queryExecution().optimizedPlan().toString()
