@@ -51,7 +51,9 @@ def paths(turns: DataFrame, ids: DataFrame) -> DataFrame:
     the first 0, 1, 2, ... turns) of each conversation in ids, from turns (conv_id, pos, role, text)."""
     marks = ids.select("conv_id", F.lit(None).cast("long").alias("pos"), F.lit("").alias("role"), F.lit("").alias("text"))
     rows = turns.select("conv_id", "pos", "role", "text").unionByName(marks)
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("pos").asc_nulls_first(), "role", "text")
+    # Dealt by a hash of its own: a repartition by the column by which all parts of a union are dealt already is left out
+    # of the plan, and parts read in different numbers of partitions then hold turns away from their conversation.
+    rows = rows.repartition(F.xxhash64("conv_id")).sortWithinPartitions("conv_id", F.col("pos").asc_nulls_first(), "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

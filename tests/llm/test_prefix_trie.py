@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geofit.llm import prefix_trie
@@ -81,3 +82,29 @@ def test_two_fattest_numbers(spark):
     pairs = [(lo, hi) for hi in range(1, 40) for lo in range(hi)]
     got = spark.createDataFrame(pairs, "lo int, hi int").select("lo", "hi", prefix_trie.fattest(F.col("lo"), F.col("hi")).alias("f")).collect()
     assert all(r.f == max(range(r.lo + 1, r.hi + 1), key=lambda x: x & -x) for r in got)
+
+
+def test_turns_stay_with_their_conversation_in_a_union_dealt_unevenly(spark, tmp_path):
+    """All parts of the union are dealt by conv_id, one by a join that becomes a broadcast join as the plan runs, and their
+    shuffles are read in different numbers of partitions."""
+    rows = spark.range(4000).select(F.col("id").alias("conv_id"), F.explode(F.sequence(F.lit(0), F.col("id") % 3)).alias("turn"))
+    rows = rows.select("conv_id", "turn", F.lit("user").alias("role"), F.repeat(F.sha2(F.concat_ws("-", "conv_id", "turn"), 256), 5).alias("text"))
+    rows.write.parquet(f"{tmp_path}/turns")
+    own = spark.read.parquet(f"{tmp_path}/turns")
+    kept = own.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("pos"), "role", "text")
+    ids = own.select("conv_id").distinct()
+    first = own.where("conv_id = 0").select(F.col("conv_id").alias("anchor"), F.lit(0).cast("long").alias("pos"), "role", "text").distinct()
+    begun = ids.withColumn("anchor", F.expr("conv_id - conv_id")).join(first, "anchor").drop("anchor")
+    confs = {
+        "spark.sql.shuffle.partitions": "50", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "100KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        depths = {r.conv_id: r.depth for r in prefix_trie.paths(kept.unionByName(begun), ids).select("conv_id", "depth").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert depths == {c: 2 + c % 3 for c in range(4000)}
