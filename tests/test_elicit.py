@@ -134,3 +134,13 @@ def test_fits_hold_a_bounded_number_of_answers(spark, monkeypatch):
     for p, r in cut.items():
         assert (r.n_choices, r.accuracy, r.cv_accuracy) == (whole[p].n_choices, whole[p].accuracy, whole[p].cv_accuracy)
         assert r.coefficients == pytest.approx(whole[p].coefficients)
+
+
+def test_worded_tasks_put_the_question_and_its_three_answers(spark):
+    entries = [dict(indicator_id="cost", domain="one", geo_level="county", unit="usd", curve="lower_better", label="Rent", question_label="What it costs"),
+               dict(indicator_id="sun", domain="one", geo_level="county", unit="index", curve="higher_better", label="Sun", phrases=["dull", "fair", "bright"], phrasing="categorical")]
+    tasks = spark.createDataFrame([("t1", None, [("sun", 1.0, 9.0, 0.1, 0.9), ("cost", 500.0, 12000.0, 0.2, 0.8)])], TASK)
+    (row,) = el.worded_tasks(tasks, registry_frame(spark, entries)).collect()
+    assert (row.task_id, row.repeat_of, row.text, row.options) == ("t1", None, "Which would you rather live in?", ["A", "B", "Genuinely can't choose"])
+    assert [tuple(s) for s in row.shown] == [(0, "sun", "Sun", "dull", "bright"), (1, "cost", "What it costs", "$500", "$12k")]
+    assert [x.indicator for x in row.attributes] == ["sun", "cost"]
