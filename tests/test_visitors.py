@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from geofit.operators import visitors as vis
@@ -111,3 +113,38 @@ def test_places_meet_as_many_blocks_as_visitors_fill(spark, monkeypatch):
     monkeypatch.setattr(vis, "BLOCK_VISITORS", 2, raising=False)
     met = vis.visitor_pairs(places, who, 2, 1, 1)
     assert len(rows(met)) == 50 and "explode([0,1,2])" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pins_by_groups_say_what_pairs_say(spark, monkeypatch):
+    """No pair of a pin and a town is made, and the summary is the same: towns and pins that come twice count twice, pins
+    may share a circle or a name, and a group's visitors go in several arrays."""
+    monkeypatch.setattr(vis, "GROUP_VISITORS", 2, raising=False)
+    rng = random.Random(4)
+    towns = [(f"t{i:03d}", 40 + rng.random() * 2, -100 + rng.random() * 2) for i in range(150)]
+    towns += [(f"s{i}", 41.0, -99.0) for i in range(30)] + towns[:4] + [("lost", None, -99.0), (None, 41.0, -99.0)]
+    pins = [(f"p{i}", 40 + rng.random() * 2, -100 + rng.random() * 2, rng.random() * 70) for i in range(25)]
+    pins += pins[:3] + [("q", *pins[0][1:]), ("p1", 41.0, -99.0, 30.0), ("r", 41.0, -99.0, 0.0), ("none", 41.0, -99.0, None), ("far", 10.0, 10.0, 50.0)]
+    names = sorted({t[0] for t in towns if t[0]})
+    scores = [(f"v{v}", g, round(rng.random(), 1), rng.random() < 0.8) for v in range(5) for g in names]
+    prices = spark.createDataFrame([(g, rng.random() * 10 if rng.random() < 0.9 else None) for g in names[5:]], "geo_id string, price double")
+    scores = spark.createDataFrame(scores + scores[:3], "visitor_id string, geo_id string, score double, ok boolean")
+    who = spark.createDataFrame([(f"v{v}", 2.0 * v if v < 4 else None) for v in range(5)], "visitor_id string, cap double")
+    pins = spark.createDataFrame(pins, "pin string, lat double, lon double, radius double")
+    towns = spark.createDataFrame(towns, "geo_id string, lat double, lon double")
+    pairs, groups = (sorted(map(tuple, vis.pin_summary(near, scores, prices, who).collect()), key=repr) for near in (
+        vis.towns_within(pins, towns, 70.0), vis.towns_within(pins, towns, 70.0, grouped=True)))
+    assert groups == pairs and len(pairs) > 100 and any(r[4] is None for r in pairs)
+
+
+def test_pin_summary_makes_no_pairs(spark, monkeypatch):
+    """The query asks for groups: before, its plan held pins times towns, and each met every visitor."""
+    from geofit.plans import demo_visitors as dv
+
+    seen = []
+    monkeypatch.setattr(vis, "pin_summary", lambda near, *rest: seen.append(near))
+    for part in ("town_scores", "prices", "visitors"):
+        monkeypatch.setattr(dv, part, lambda *_: spark.range(0).selectExpr("'' AS visitor_id", "'' AS geo_id", "0D AS price", "0D AS cap"))
+    monkeypatch.setattr(dv.base, "universe", lambda *_: spark.createDataFrame([("place", "t", 41.0, -99.0)], "geo_level string, geo_id string, lat double, lon double"))
+    monkeypatch.setattr(dv, "table", lambda *_: spark.createDataFrame([(7,)], "s_suppkey bigint"))
+    dv.h13(spark, "")
+    assert not hasattr(seen[0], "columns") and seen[0].points.columns == ["pin", "lat", "lon", "radius"]
